@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, mixing, sharding, simhash, token_counts, toxicity
+from . import chat, decontamination, html_extraction, mixing, sharding, simhash, token_counts, toxicity, url_filters
 from .scratch import ship, table
 
 
@@ -18,6 +18,20 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+#: Fixed rules.
+URL_RULES = [
+    url_filters.Rule("allow", "org", "/"),
+    url_filters.Rule("block", "example.org", "/es/"),
+    url_filters.Rule("block", "example.org", "/en/1"),
+    url_filters.Rule("allow", "com", "/fr/"),
+    url_filters.Rule("block", "com", "/de/"),
+]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -27,6 +41,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -59,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.SHARDING_SQL, "op8_mixing": mixing.MIXING_SQL, "op9_chat_formatting": chat.CHAT_SQL}
+    return {"op2_sharding": sharding.SHARDING_SQL, "op3_url_filters": url_filters.URL_SQL, "op8_mixing": mixing.MIXING_SQL, "op9_chat_formatting": chat.CHAT_SQL}
