@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue_media
+from . import catalogue_files, catalogue_media, catalogue_probe
 
-MODULES = [catalogue_media]
+MODULES = [catalogue_media, catalogue_files, catalogue_probe]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
