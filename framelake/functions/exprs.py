@@ -93,9 +93,9 @@ def bytes_readable(n: Column) -> Column:
 
 
 def clock_text(whole_secs: Column) -> Column:
-    """HH:MM:SS of whole seconds; hours may exceed 99."""
+    """HH:MM:SS of whole seconds; hours may exceed 99, and parts of a negative number are negative each."""
     s = whole_secs.cast("bigint")
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("bigint"), F.floor((s % 3600) / 60).cast("bigint"), s % 60)
+    return F.format_string("%02d:%02d:%02d", (s / 3600).cast("bigint"), ((s % 3600) / 60).cast("bigint"), s % 60)
 
 
 def duration_text(secs: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue_encode, catalogue_files, catalogue_media, catalogue_probe
+from . import catalogue_encode, catalogue_events, catalogue_files, catalogue_media, catalogue_probe
 
-MODULES = [catalogue_media, catalogue_files, catalogue_probe, catalogue_encode]
+MODULES = [catalogue_media, catalogue_files, catalogue_probe, catalogue_encode, catalogue_events]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
