@@ -24,8 +24,6 @@ MAX_DIFF = 3
 SEGMENTS = 8
 #: Fingerprints of one key compared with each other; keys with more go through flip_links.
 MAX_RUN = 1024
-#: Rows compared at once.
-CHUNK = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -118,15 +116,15 @@ def _original(key: np.ndarray, turned: np.ndarray) -> np.ndarray:
     return (turned >> bits) | (turned << ((np.uint64(64) - bits) & np.uint64(63)))
 
 
-def _in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among rows sorted by key. A key of over MAX_RUN rows comes out as rows with a key instead, one by one as read."""
+def _in_keys(batches: Iterator[pa.RecordBatch], max_run: int) -> Iterator[pa.RecordBatch]:
+    """Links among rows sorted by key. A key of over max_run rows comes out as rows with a key instead, as they are read."""
 
     def out(kind: int, key: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(key), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["kind", "key", "a", "b"])
 
     def links(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         left, right, at = [], [], np.arange(len(key))
-        for step in range(1, MAX_RUN):
+        for step in range(1, max_run):
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
             if not len(at):
@@ -145,7 +143,7 @@ def _in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def closed(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(key):
             sizes = np.diff(np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]))
-            big = np.repeat(sizes > MAX_RUN, sizes)
+            big = np.repeat(sizes > max_run, sizes)
             if big.any():
                 yield out(1, key[big], fp[big], fp[big])
             yield from links(key[~big], fp[~big])
@@ -161,11 +159,11 @@ def _in_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, fp = key[n:], fp[n:]
             over = over if not len(key) else None
         # Rows of the last key wait for the next batch, unless there are too many already.
-        if len(key) > MAX_RUN:
+        if len(key) > max_run:
             last = int(np.searchsorted(key, key[-1]))
             yield from closed(key[:last], fp[:last])
             key, fp = key[last:], fp[last:]
-            if len(key) > MAX_RUN:
+            if len(key) > max_run:
                 over = key[-1]
                 yield out(1, key, fp, fp)
                 key, fp = key[:0], fp[:0]
@@ -204,15 +202,15 @@ def _turned_back(df: DataFrame) -> DataFrame:
     return df.select(back("a"), back("b"))
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
+def fingerprint_links(fps: DataFrame, max_run: int = MAX_RUN) -> DataFrame:
     """Enough links (a, b) among distinct fingerprints fp to hold every linked group together."""
     spread = _keys(fps).repartition("key").sortWithinPartitions("key")
-    found = materialize(spread.mapInArrow(_in_keys, "kind int, key long, a long, b long"), "simhash-links")
+    found = materialize(spread.mapInArrow(lambda batches: _in_keys(batches, max_run), "kind int, key long, a long, b long"), "simhash-links")
     crowded = found.where("kind = 1").select("key", F.col("a").alias("turned"))
     return found.where("kind = 0").select("a", "b").union(_turned_back(flip_links(crowded)))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_run: int = MAX_RUN) -> DataFrame:
     """Every row's doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest doc_id it is linked to, in steps.
 
     Texts are lower-cased A-Z and cut into words at ASCII white space; null and empty texts have fingerprint zero. Rows
@@ -221,7 +219,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = connected_components(fingerprint_links(distinct.select("fp")))
+    parts = connected_components(fingerprint_links(distinct.select("fp"), max_run))
     # One row for each fingerprint that has links.
     linked = parts.join(distinct, parts["node"] == distinct["fp"]).select("node", "component", "least")
     ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
