@@ -85,18 +85,18 @@ def _check_sql(body: str) -> str:
     return sql("m_probe m_crop m_output m_out_audio", f",{CHECK_SQL} {body}", *TO_DECISION)
 
 
-def encoded(s: SparkSession, d: str) -> DataFrame:
+def encoded(s: SparkSession, d: str, check: DataFrame | None = None) -> DataFrame:
     inputs = relation(s, d, "m_probe").select("file_id", "input_size", "duration_secs")
     outputs = relation(s, d, "m_output").select("file_id", F.when(F.col("file_id") % 97 != 0, F.col("output_size")).alias("output_size"), "elapsed_secs")
-    return results.encode_results(inputs, outputs, checked(s, d).select("file_id", "is_valid"))
+    return results.encode_results(inputs, outputs, (check or checked(s, d)).select("file_id", "is_valid"))
 
 
 def batched(df: DataFrame) -> DataFrame:
     return df.withColumns({"batch": F.col("file_id") % BATCHES, "filename": F.format_string("f%d.mkv", "file_id")})
 
 
-def summarised(s: SparkSession, d: str) -> DataFrame:
-    return results.summary(batched(encoded(s, d)), batched(relation(s, d, "m_probe").select("file_id")))
+def summarised(s: SparkSession, d: str, done: DataFrame | None = None) -> DataFrame:
+    return results.summary(batched(done or encoded(s, d)), batched(relation(s, d, "m_probe").select("file_id")))
 
 
 RESULTS_SQL = """results AS (SELECT p.file_id, p.file_id % 50 AS batch, 'f' || p.file_id || '.mkv' AS filename, p.input_size, CASE WHEN p.file_id % 97 <> 0 THEN output_size ELSE 0 END AS output_size,
@@ -171,7 +171,7 @@ UNION ALL SELECT file_id, CAST(n + 1 AS INTEGER), 'mux', NULL, NULL, NULL, array
         _results_sql("SELECT batch, successful, total_files, input_bytes, output_bytes, CASE WHEN input_bytes = 0 THEN 0e0 ELSE (input_bytes - output_bytes) / CAST(input_bytes AS DOUBLE) * 100e0 END AS reduction_pct, passed FROM summary"),
     ),
     "batch_outcome": (
-        lambda s, d: results.outcome(summarised(s, d), batched(encoded(s, d))),
+        lambda s, d: (lambda done: results.outcome(summarised(s, d, done), batched(done)))(encoded(s, d).persist()),
         _results_sql("""SELECT batch, CASE successful WHEN 0 THEN 'warning' WHEN 1 THEN 'operation_complete' ELSE 'batch_complete' END AS kind, CASE successful WHEN 0 THEN 'No files were successfully encoded'
   WHEN 1 THEN 'Successfully encoded ' || only_name ELSE successful || ' of ' || total_files || ' succeeded' END AS message FROM summary"""),
     ),

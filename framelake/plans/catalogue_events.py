@@ -51,15 +51,18 @@ lines AS (
 
 
 def event_log(s: SparkSession, d: str) -> DataFrame:
-    done = encoded(s, d).withColumn("ts_epoch", F.lit(SECOND) + F.col("file_id"))
-    batches = summarised(s, d).withColumn("ts_epoch", F.lit(SECOND) + F.col("batch"))
+    found = encoded(s, d).persist()  # read by three parts of the log
+    done = found.withColumn("ts_epoch", F.lit(SECOND) + F.col("file_id"))
+    batches = summarised(s, d, found).withColumn("ts_epoch", F.lit(SECOND) + F.col("batch"))
     return events.union([events.progress_events(relation(s, d, "m_progress")), events.result_events(done), events.batch_events(batches)])
 
 
 def log_lines(s: SparkSession, d: str) -> DataFrame:
     samples = relation(s, d, "m_crop")
+    check = checked(s, d).persist()
+    done = encoded(s, d, check).persist()
     parts = [
-        events.progress_lines(progress.parse_lines(relation(s, d, "m_line"))), events.validation_lines(validation.steps(checked(s, d))), events.result_lines(encoded(s, d)), events.batch_lines(summarised(s, d)),
+        events.progress_lines(progress.parse_lines(relation(s, d, "m_line"))), events.validation_lines(validation.steps(check)), events.result_lines(done), events.batch_lines(summarised(s, d, done)),
         events.candidate_lines(crop.candidates(samples), crop.top_candidates(samples)),
     ]
     return events.union(parts)
