@@ -11,6 +11,8 @@ from .hashing import HASH_BITS, hash52
 from .scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Sources whose plan, of one short row each, goes whole to every executor; more are joined by source and salt.
+BROADCAST_SOURCES, SALTS = 100_000, 64
 #: Ranges of the record hash in which a source's words are summed before the one that holds the cut is looked into.
 CUT_RANGES = 4096
 
@@ -80,8 +82,15 @@ def _copies() -> Column:
     return F.col("whole") + F.when(F.coalesce(first, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
 
 
-def _named(plan: DataFrame) -> DataFrame:
-    return plan.select(F.col("source").alias("m_source"), F.col("source_size").alias("m_size"), F.col("target").alias("m_target"), F.col("whole"), F.col("cut_start"), F.col("last"))
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with source and order_hash, joined to their source's plan; a source with much of the table stays spread out."""
+    plan = materialize(plan, "mixing-cuts")
+    plan = plan.select(F.col("source").alias("m_source"), F.col("source_size").alias("m_size"), F.col("target").alias("m_target"), "whole", "cut_start", "last")
+    same = F.col("source").eqNullSafe(F.col("m_source"))
+    if plan.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(plan), same)
+    salted = plan.withColumn("m_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", (F.col("order_hash") % SALTS).cast("int")).join(salted, same & (F.col("salt") == F.col("m_salt")))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
@@ -93,17 +102,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1
     alike. An empty table gives an empty result.
     """
     rows = materialize(_keyed(docs, seed), "mixing-rows")
-    plan = _named(mixing_plan(rows, weights, budget, max_epochs, seed))
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("m_source")))
+    out = _with_plan(rows, mixing_plan(rows, weights, budget, max_epochs, seed))
     return out.select("doc_id", "size", F.col("m_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("size") * _copies()).alias("taken"))
 
 
 def mix_rows(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """The mix itself: every row of docs, all columns, as often as `mix` takes it. Texts go through no shuffle of their own."""
+    """The mix itself: every row of docs, all columns, as often as `mix` takes it. Up to BROADCAST_SOURCES sources, texts aren't shuffled."""
     rows = materialize(_keyed(docs, seed), "mixing-rows")
-    plan = _named(mixing_plan(rows, weights, budget, max_epochs, seed))
     packed = docs.select(F.struct("*").alias("row"), "doc_id", "source").withColumn("order_hash", hash52(F.lit("mix"), F.lit(seed), F.col("doc_id")))
-    packed = packed.join(plan, F.col("source").eqNullSafe(F.col("m_source"))).withColumn("copies", _copies())
+    packed = _with_plan(packed, mixing_plan(rows, weights, budget, max_epochs, seed)).withColumn("copies", _copies())
     return packed.where(F.col("copies") > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 

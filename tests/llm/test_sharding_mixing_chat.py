@@ -108,3 +108,9 @@ def test_odd_conversations(spark):
     got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.format_conversations(turns).collect()}
     assert got == {None: [("", "")], 1: [("", "first"), ("user", "a"), ("user", "b"), ("user", "b")], 2: [("user", "long " * 50_000), ("assistant", "")]}
     assert chat.conversation_digests(chat.format_conversations(turns.limit(0))).count() == 0
+
+
+def test_many_sources_are_joined_with_salt(spark, odd_docs, monkeypatch):
+    want = sorted(map(str, mixing.mix(odd_docs).collect())), sorted(map(str, mixing.mix_rows(odd_docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert (sorted(map(str, mixing.mix(odd_docs).collect())), sorted(map(str, mixing.mix_rows(odd_docs).collect()))) == want
