@@ -24,6 +24,8 @@ MAX_DIFF = 3
 SEGMENTS = 8
 #: Fingerprints of one key compared with each other; keys with more go through flip_links.
 MAX_RUN = 1024
+#: A fingerprint with one in so many of all rows is crowded; there can be no more crowded ones than this number.
+CROWDED = 1000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -218,13 +220,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_run: int = MAX_RUN) -
     an empty result. Links are looked for among distinct fingerprints, so copies cost one row however many there are.
     """
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     parts = connected_components(fingerprint_links(distinct.select("fp"), max_run))
     # One row for each fingerprint that has links.
     linked = parts.join(distinct, parts["node"] == distinct["fp"]).select("node", "component", "least")
     ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = distinct.join(linked.join(ids, "component").select(F.col("node").alias("fp"), "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = distinct.join(linked.join(ids, "component").select(F.col("node").alias("fp"), "component_id"), "fp", "left")
+    named = materialize(named.select("fp", "rows", F.coalesce("component_id", "least").alias("component_id")), "fingerprint-components")
+    # Copies of one text may be much of the table: crowded fingerprints, at most CROWDED of them, go to the rows.
+    total = named.agg(F.sum("rows")).first()[0] or 0
+    crowded = F.broadcast(named.where(F.col("rows") * CROWDED >= total).drop("rows"))
+    rest = prints.join(crowded.select("fp"), "fp", "left_anti").join(named.drop("rows"), "fp")
+    return prints.join(crowded, "fp").unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
