@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -32,14 +33,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named, as in tests."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's checkpoint folder. Where none is named, a local session makes a temporary one; a cluster is an error,
+    since its executors would each write to their own disks."""
+    context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not given:
-        made = spark.sparkContext.getCheckpointDir()
-        if not made:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-            made = spark.sparkContext.getCheckpointDir()
-        given = made
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        given = context.getCheckpointDir()
     return given.rstrip("/")
 
 

@@ -17,15 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import CROWDED, connected_components, join_crowded
 from .scratch import materialize
 
 MAX_DIFF = 3
 SEGMENTS = 8
 #: Fingerprints of one key compared with each other; keys with more go through flip_links.
 MAX_RUN = 1024
-#: A fingerprint with one in so many of all rows is crowded; there can be no more crowded ones than this number.
-CROWDED = 1000
+#: Fingerprints among which keys with many are looked for beforehand, about. Those that it misses are found as they are read.
+SCOUTS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -206,9 +206,17 @@ def _turned_back(df: DataFrame) -> DataFrame:
 
 def fingerprint_links(fps: DataFrame, max_run: int = MAX_RUN) -> DataFrame:
     """Enough links (a, b) among distinct fingerprints fp to hold every linked group together."""
-    spread = _keys(fps).repartition("key").sortWithinPartitions("key")
+    keys = _keys(fps)
+    # Keys that hold much of the table never meet in one task; they go where keys of over max_run rows go in any case.
+    n = fps.count()
+    scouts = _keys(fps.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // SCOUTS))) == 0)).groupBy("key").count()
+    full = F.greatest(F.lit(max_run), F.lit(24 * min(n, SCOUTS) // CROWDED))
+    full = materialize(scouts.where(F.col("count") > full).select("key"), "simhash-crowded")
+    spread = keys.join(F.broadcast(full), "key", "left_anti").repartition("key").sortWithinPartitions("key")
     found = materialize(spread.mapInArrow(lambda batches: _in_keys(batches, max_run), "kind int, key long, a long, b long"), "simhash-links")
     crowded = found.where("kind = 1").select("key", F.col("a").alias("turned"))
+    if full.take(1):
+        crowded = crowded.union(keys.join(F.broadcast(full), "key").select("key", "turned"))
     return found.where("kind = 0").select("a", "b").union(_turned_back(flip_links(crowded)))
 
 
@@ -220,28 +228,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_run: int = MAX_RUN) -
     an empty result. Links are looked for among distinct fingerprints, so copies cost one row however many there are.
     """
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "fingerprints-distinct")
     parts = connected_components(fingerprint_links(distinct.select("fp"), max_run))
     # One row for each fingerprint that has links.
-    linked = parts.join(distinct, parts["node"] == distinct["fp"]).select("node", "component", "least")
-    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = distinct.join(linked.join(ids, "component").select(F.col("node").alias("fp"), "component_id"), "fp", "left")
+    linked = materialize(parts.join(distinct, parts["node"] == distinct["fp"]).select("fp", "component", "least"), "fingerprints-linked")
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    told = join_crowded(linked.select("fp", "component"), ids, "component", "n", linked.count()).select("fp", "component_id")
+    named = distinct.join(materialize(told, "fingerprints-told"), "fp", "left")
     named = materialize(named.select("fp", "rows", F.coalesce("component_id", "least").alias("component_id")), "fingerprint-components")
-    # Copies of one text may be much of the table: crowded fingerprints, at most CROWDED of them, go to the rows.
-    total = named.agg(F.sum("rows")).first()[0] or 0
-    crowded = F.broadcast(named.where(F.col("rows") * CROWDED >= total).drop("rows"))
-    rest = prints.join(crowded.select("fp"), "fp", "left_anti").join(named.drop("rows"), "fp")
-    return prints.join(crowded, "fp").unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """One row, all columns, of each component of docs: that of its smallest doc_id.
-
-    Rows under one doc_id are told apart by their texts alone. Rows of null doc_id stay, if one of them is alone in its
-    component, all but exact copies.
-    """
-    marked = materialize(near_duplicates(docs, shingle).select("doc_id", "component_id"), "near-duplicates")
-    kept = marked.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"))
-    repeated = bool(kept.where("__rows > 1").take(1))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    # Copies of one text may be much of the table.
+    out = join_crowded(prints, named, "fp", "rows", named.agg(F.sum("rows")).first()[0] or 0)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
