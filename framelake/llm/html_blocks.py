@@ -13,6 +13,7 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN_TAGS = frozenset("script style noscript template svg math head title iframe object".split())
 RAW_TAGS = frozenset("script style textarea title".split())
+HEAD_TAGS = frozenset("html head base link meta noscript script style template title".split())
 #: An opening tag on the left ends an open element on the right.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {
     t: {"p"} for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()
@@ -20,7 +21,8 @@ ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 #: An open element on the right is not looked for beyond one of these.
 SCOPE = frozenset("article aside body div footer form header main nav section table td ul ol dl".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
+_OPEN = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+>")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -28,13 +30,15 @@ _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 @dataclass
 class Block:
-    """Text of one leaf of the DOM; path: the open tags, outermost first; marks: words of their classes, ids and roles."""
+    """Text of one leaf of the DOM; own, parent: its innermost block tags; tags: all of them above it; marks: words of the
+    classes, ids and roles above it; linked: characters inside links. Neighbours share tags and marks."""
 
     text: str
-    path: tuple[str, ...]
-    marks: tuple[str, ...]
+    own: str
+    parent: str
+    tags: frozenset[str]
+    marks: frozenset[str]
     linked: int
-    hidden: bool = False
 
 
 def _attributes(tag: str, raw: str) -> tuple[tuple[str, ...], bool]:
@@ -48,69 +52,157 @@ def _attributes(tag: str, raw: str) -> tuple[tuple[str, ...], bool]:
     return tuple(marks), hidden
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The page's blocks in order, white space folded. Malformed nesting is mended roughly as browsers do."""
+class _Bag:
+    """What stands above the present place, counted; the set of it is made anew only when it changes."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {}
+        self.made: frozenset[str] | None = frozenset()
+
+    def add(self, x: str, n: int) -> None:
+        had = self.counts.get(x, 0)
+        self.counts[x] = had + n
+        if not had + n:
+            del self.counts[x]
+        if not had or not had + n:
+            self.made = None
+
+    def all(self) -> frozenset[str]:
+        if self.made is None:
+            self.made = frozenset(self.counts)
+        return self.made
+
+
+class _Open:
+    """The open elements, with what blocks need to know of them."""
+
+    def __init__(self, known: frozenset[str] | None) -> None:
+        self.stack: list[tuple[str, tuple[str, ...], bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.outer: list[str] = []
+        self.tags, self.marks = _Bag(), _Bag()
+        self.hidden, self.known = 0, known
+
+    def push(self, tag: str, marks: tuple[str, ...], hidden: bool) -> None:
+        marks = marks if self.known is None else tuple(m for m in marks if m in self.known)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, marks, hidden))
+        self.hidden += hidden
+        for m in marks:
+            self.marks.add(m, 1)
+        if tag in BLOCK_TAGS and tag not in ("html", "body"):
+            self.outer.append(tag)
+            self.tags.add(tag, 1)
+
+    def pop(self) -> str:
+        tag, marks, hidden = self.stack.pop()
+        self.places[tag].pop()
+        self.hidden -= hidden
+        for m in marks:
+            self.marks.add(m, -1)
+        if tag in BLOCK_TAGS and tag not in ("html", "body"):
+            self.outer.pop()
+            self.tags.add(tag, -1)
+        return tag
+
+    def last(self, tags: frozenset[str] | set[str]) -> int:
+        """Where the innermost of these tags stands, -1 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+
+def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    """The page's blocks in order, white space folded, without hidden ones. Of marks only `known` ones are kept, if given.
+
+    Malformed nesting is mended roughly as browsers do. Where a tag's quotes leave it without an end, quotes mean nothing
+    from there on; where no > follows, the rest is text. Every character is looked at a bounded number of times.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    above = _Open(known)
     text: list[str] = []
-    linked = 0
+    linked, quotes = 0, True
     page = page or ""
 
     def flush() -> None:
         nonlocal linked
         if text:
             folded = " ".join("".join(text).split())
-            if folded:
-                out.append(Block(folded, tuple(t for t, _, _ in stack), tuple(m for _, ms, _ in stack for m in ms), min(linked, len(folded)), any(h for _, _, h in stack)))
+            if folded and not above.hidden:
+                own, parent = (["none", "none"] + above.outer[-2:])[:-3:-1]
+                out.append(Block(folded, own, parent, above.tags.all(), above.marks.all(), min(linked, len(folded))))
             text.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
+            if above.stack and above.stack[-1][0] == "head" and not raw.isspace():
+                close({"head"})
             piece = html.unescape(raw)
             text.append(piece)
-            if any(t == "a" for t, _, _ in stack):
+            if above.places.get("a"):
                 linked += len(piece.strip())
 
     def close(tags: set[str], scope: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                if any(t in BLOCK_TAGS for t, _, _ in stack[k:]):
-                    flush()
-                del stack[k:]
-                return
-            if stack[k][0] in scope:
-                return
-
-    at = 0
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        k = above.last(tags)
+        if k < 0 or above.last(scope) > k:
+            return
+        if any(t in BLOCK_TAGS for t, _, _ in above.stack[k:]):
+            flush()
+        while len(above.stack) > k:
+            above.pop()
+
+    at = start = 0
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            add(page[start:at])
+            at = start = len(page) if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            add(page[start:at])
+            at = start = len(page) if end < 0 else end + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
+        m = _OPEN.match(page, at)
+        if not m:
+            at += 1
+            continue
+        end = _REST.match(page, m.end()) if quotes else None
+        if end:
+            stop = end.end()
+        else:
+            quotes = False
+            stop = page.find(">", m.end()) + 1
+            if not stop:
+                break
+        add(page[start:at])
+        raw, shut = page[m.end() : stop - 1], page[at + 1] == "/"
+        at = start = stop
+        tag = m[1].lower()
+        if shut:
             close({tag})
             continue
+        if above.stack and above.stack[-1][0] == "head" and tag not in HEAD_TAGS:
+            close({"head"})
         if tag in ENDS:
             close(ENDS[tag], SCOPE - ENDS[tag])
         if tag in BLOCK_TAGS:
             flush()
         if tag == "br":
             text.append(" ")
-        if tag in VOID_TAGS or m[3].endswith("/") and tag not in BLOCK_TAGS:
+        if tag in VOID_TAGS or raw.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        stack.append((tag, *_attributes(tag, m[3])))
+        above.push(tag, *_attributes(tag, raw))
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            shutting = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            stop = page.find(">", shutting.end()) + 1 if shutting else 0
             if tag not in HIDDEN_TAGS:
-                add(page[at : end.start() if end else len(page)])
-            at = end.end() if end else len(page)
+                add(page[at : shutting.start() if stop else len(page)])
+            at = start = stop or len(page)
             close({tag})
-    add(page[at:])
+    add(page[start:])
     flush()
-    return [b for b in out if not b.hidden]
+    return out
 
 
 def _step(n: float, *limits: float) -> int:
@@ -121,11 +213,9 @@ def features(page: list[Block]) -> list[list[str]]:
     """Features of each block: its ancestors' tags and marks, and its text's length, links and copyright sign."""
     out = []
     for b in page:
-        tags = [t for t in b.path if t in BLOCK_TAGS and t not in ("html", "body")] or ["none"]
-        own, parent = tags[-1], tags[-2] if len(tags) > 1 else "none"
         size = _step(b.text.count(" ") + 1, 2, 5, 10, 20, 50)
         links = _step(b.linked / len(b.text), 0.05, 0.3, 0.8)
-        f = ["bias", f"tag={own}", f"nest={parent} {own}", f"size={size}", f"links={links}", f"copyright={'©' in b.text}"]
-        f += [f"in={t}" for t in set(tags)] + [f"mark={m}" for m in set(b.marks)]
+        f = ["bias", f"tag={b.own}", f"nest={b.parent} {b.own}", f"size={size}", f"links={links}", f"copyright={'©' in b.text}"]
+        f += [f"in={t}" for t in b.tags or ("none",)] + [f"mark={m}" for m in b.marks]
         out.append(f)
     return out

@@ -36,6 +36,10 @@ class ChainModel:
     turn: np.ndarray
     begin: np.ndarray
 
+    def __post_init__(self) -> None:
+        #: Marks that have a weight; others change nothing.
+        self.known = frozenset(f.removeprefix("mark=") for f in self.weights if f.startswith("mark="))
+
     def decode(self, page: list[list[str]]) -> list[int]:
         """The likeliest labels; ties go to 0."""
         if not page:
@@ -108,7 +112,7 @@ def trained_model() -> ChainModel:
 
 
 def main_text(page: str | None, model: ChainModel) -> str:
-    found = blocks(page)
+    found = blocks(page, model.known)
     return "\n\n".join(b.text for b, y in zip(found, model.decode(features(found))) if y)
 
 

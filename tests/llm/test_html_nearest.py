@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -46,6 +47,36 @@ def test_blocks_of_malformed_markup():
     assert blocks("<p>x<")[0].text == "x<" and blocks("<script>never closed") == [] and blocks("") == [] == blocks(None)
 
 
+def test_head_that_is_not_closed(model):
+    body = "".join(p for p, _ in labelled_pages(1, seed=5)[0])
+    assert [b.text for b in blocks("<html><head><title>t</title><meta charset=x><link rel=y><body><p>one<p>two")] == ["one", "two"]
+    assert [b.text for b in blocks("<head><style>x</style><noscript><img src=a></noscript><div>one</div>")] == ["one"]
+    assert [b.text for b in blocks("<head><title>t</title>text at once<p>two")] == ["text at once", "two"]
+    assert H.main_text(body.replace("</head>", ""), model) == H.main_text(body, model)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<a " * 350_000, 1),
+        ("<div>x" * 100_000, 100_000),
+        ("".join(f"<div class=c{'abcdefghij'[i % 10]}{chr(97 + i % 26)}x>y" for i in range(60_000)), 60_000),
+        ('<p>one</p>' + '<a " > "' * 100_000, 1),
+        ("<script>" + "</script " * 100_000, 0),
+        ("<li><ul>" + "<b>" * 50_000 + "<li>z</li>" * 50_000, 50_000),
+        ("</x>" * 100_000 + "<b>" * 100_000 + "</i>" * 100_000 + "end", 1),
+        ("<!--" * 200_000 + "x", 0),
+        ("&amp;" * 200_000, 1),
+    ],
+)
+def test_long_odd_pages_take_linear_time(model, page, want):
+    began = time.process_time()
+    found = blocks(page, model.known)
+    assert abs(len(found) - want) <= 1
+    model.decode(H.features(found))
+    assert time.process_time() - began < 15
+
+
 def test_viterbi_is_the_best_path(model):
     rng = random.Random(1)
     for _ in range(20):
