@@ -100,13 +100,12 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"://[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Every key under which a rule may fit: the host and each domain above it, with the path's first characters."""
-    labels = F.split(host, r"\.", -1)
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    starts = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])
-    starts = F.filter(starts, lambda s: s.isNotNull())
-    return F.flatten(F.transform(domains, lambda d: F.transform(starts, lambda s: F.concat(d, s))))
+def keys_of(host: Column, path: Column, labels: Sequence[int], lengths: Sequence[int]) -> Column:
+    """Every key under which a rule may fit: the host's last labels, as many as some rule's host has, with the path's first characters."""
+    dots = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
+    ends = [F.when(dots >= n - 1, F.substring_index(host, ".", -n)) for n in labels]
+    starts = [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]
+    return F.filter(F.array(*[F.concat(d, s) for d in ends for s in starts]), lambda k: k.isNotNull())
 
 
 def _hashes(column: pa.Array) -> np.ndarray:
@@ -154,9 +153,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow") -> Da
     if any(not r.path.startswith("/") or "/" in r.host for r in rules):
         raise ValueError("a rule has a host without slashes and a path that begins with one")
     spark = pages.sparkSession
-    lengths = sorted({len(r.path) for r in rules})
+    lengths, labels = sorted({len(r.path) for r in rules}), sorted({r.host.count(".") + 1 for r in rules})
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keyed = parts.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>"))
+    keyed = parts.withColumn("keys", keys_of(F.col("host"), F.col("path"), labels, lengths) if lengths else F.array().cast("array<string>"))
     cascades = build_cascades(keyed.select(F.explode("keys").alias("key")).select(F.xxhash64("key").alias("h")), rules)
     shared = spark.sparkContext.broadcast(cascades)
 
