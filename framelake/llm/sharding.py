@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import HASH_BITS, hash52, unit
+from .scratch import materialize
 
 #: Ranges of the record hash into which each shard is cut to number its rows in parallel.
 SLOT_RANGES = 1024
+#: Repeats of a row that are numbered as one record.
+REPEATS = 4096
 
 
 def shard_score(key: Column, shard: Column, weight: Column) -> Column:
@@ -40,10 +43,11 @@ def shard_documents(docs: DataFrame, n_shards: int, weights: Sequence[float] | N
     """Every row's shard by the law `key`, and its place in the shard.
 
     Result: doc_id, size (UTF-8 bytes plus `overhead`), text_crc32, law, shard, slot, grown_shard. Rows of one doc_id share
-    a shard whatever their texts. Slots count from 0 without gaps in each shard, by record hash, doc_id, checksum and size.
-    A null text counts as empty (checksum 0), a null doc_id as a key of its own. An empty table gives an empty result.
-    Repeated rows are counted before the shuffle and laid out again afterwards, so a key that holds much of the table is
-    one row on the way; a shard's rows are numbered in `SLOT_RANGES` hash ranges whose sizes alone are summed up.
+    a shard whatever their texts. Slots count from 0 without gaps in each shard, by a hash of doc_id, checksum, size and,
+    of repeated rows, the number of their block. A null text counts as empty (checksum 0), a null doc_id as a key of its
+    own. An empty table gives an empty result. Repeated rows are counted before the shuffle, and laid out again from blocks
+    of REPEATS, so neither a key nor a row that holds much of the table meets in one task; a shard's rows are numbered in
+    `SLOT_RANGES` hash ranges whose sizes alone are summed up.
     """
     w = list(weights) if weights is not None else [1.0] * n_shards
     shards = list(enumerate(w))
@@ -51,10 +55,13 @@ def shard_documents(docs: DataFrame, n_shards: int, weights: Sequence[float] | N
     rows = (
         docs.select(F.col("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
         .groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
-        .withColumn("order_hash", hash52(F.lit("slot"), F.col("doc_id")))
     )
     rows = assign_shards(rows, F.col("doc_id"), shards, (n_shards, 1.0))
-    rows = rows.withColumn("range", F.shiftright("order_hash", HASH_BITS - SLOT_RANGES.bit_length() + 1).cast("int"))
+    last = F.floor((F.col("copies") - 1) / REPEATS)
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rows = rows.withColumn("copies", F.least(F.lit(REPEATS), F.col("copies") - F.col("block") * REPEATS))
+    rows = rows.withColumn("order_hash", hash52(F.lit("slot"), F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("block")))
+    rows = materialize(rows.withColumn("range", F.shiftright("order_hash", HASH_BITS - SLOT_RANGES.bit_length() + 1).cast("int")), "sharding-rows")
 
     # At most shards x SLOT_RANGES rows.
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,7 +69,7 @@ def shard_documents(docs: DataFrame, n_shards: int, weights: Sequence[float] | N
         rows.groupBy("shard", "range").agg(F.sum("copies").alias("in_range"))
         .select("shard", "range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("offset"))
     )
-    within = Window.partitionBy("shard", "range").orderBy("order_hash", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("shard", "range").orderBy("order_hash", "doc_id", "text_crc32", "size", "block").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("ahead", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(F.broadcast(offsets), ["shard", "range"])
     return placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("ahead") + F.col("copy")).alias("slot"), "grown_shard"
@@ -84,12 +91,14 @@ WITH crc_table AS (
   FROM hexed, crc_table
 ), scored AS (
   SELECT *, list_transform(range(41), lambda s: {'score': -ln((CAST('0x' || substr(md5(s || ':' || k), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0), 'id': s}) AS scores,
-    CAST('0x' || substr(md5('slot:' || k), 1, 13) AS BIGINT) AS order_hash
+    (row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1) // 4096 AS block
   FROM sized
 ), placed AS (
-  SELECT *, CAST(list_min(scores[1:40]).id AS INTEGER) AS shard, CAST(list_min(scores).id AS INTEGER) AS grown_shard FROM scored
+  SELECT *, CAST(list_min(scores[1:40]).id AS INTEGER) AS shard, CAST(list_min(scores).id AS INTEGER) AS grown_shard,
+    CAST('0x' || substr(md5('slot:' || k || ':' || text_crc32 || ':' || size || ':' || block), 1, 13) AS BIGINT) AS order_hash
+  FROM scored
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
-  row_number() OVER (PARTITION BY shard ORDER BY order_hash, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+  row_number() OVER (PARTITION BY shard ORDER BY order_hash, doc_id NULLS FIRST, text_crc32, size, block) - 1 AS slot, grown_shard
 FROM placed
 """
