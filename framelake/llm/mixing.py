@@ -13,6 +13,8 @@ from .scratch import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources whose plan, of one short row each, goes whole to every executor; more are joined by source and salt.
 BROADCAST_SOURCES, SALTS = 100_000, 64
+#: Repeats of a row that are laid out from one row.
+REPEATS = 4096
 #: Ranges of the record hash in which a source's words are summed before the one that holds the cut is looked into.
 CUT_RANGES = 4096
 
@@ -42,11 +44,12 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
     )
 
 
-def mixing_plan(rows: DataFrame, weights: Sequence[float], budget: float, max_epochs: float, seed: int) -> DataFrame:
-    """For each source of (doc_id, source, size, order_hash): target, whole repetitions, and the last record that gets one more.
+def mixing_plan(rows: DataFrame, weights: Sequence[float], budget: float, max_epochs: float) -> DataFrame:
+    """For each source of (doc_id, source, size, order_hash, range): target, whole repetitions, and which records get one more.
 
-    A source's fractional repetition goes to the records that come first by seeded hash, up to the one nearest to the
-    target; only sums by hash range, and the records of the one range with the cut, are put in order.
+    A record is all rows that share order_hash, doc_id and size. A source's fractional repetition goes to the rows that come
+    first by seeded hash, up to the one nearest to the target: to all rows of records up to `last`, and to `some` rows of
+    the record `split`. Only sums by hash range, and the records of the one range with the cut, are put in order.
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -62,30 +65,29 @@ def mixing_plan(rows: DataFrame, weights: Sequence[float], budget: float, max_ep
     cut = ranges.join(p, F.col("source").eqNullSafe(F.col("p_source"))).where((F.col("ahead") <= F.col("part")) & (F.col("part") < F.col("ahead") + F.col("words")))
     cut = cut.select("p_source", F.col("range").alias("p_range"), "ahead", "part")
     inside = rows.join(cut, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("range") == F.col("p_range")))
-    inside = inside.groupBy("source", "order_hash", "doc_id", "ahead", "part").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("order_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    taken = inside.withColumn("sum", F.col("ahead") + F.coalesce(F.sum("words").over(upto), F.lit(0))).where(2 * F.col("sum") + F.col("words") <= 2 * F.col("part"))
-    last = taken.groupBy(F.col("source").alias("l_source")).agg(F.max(F.struct("order_hash", "doc_id")).alias("last"))
+    inside = inside.groupBy("source", "order_hash", "doc_id", "size", "ahead", "part").agg(F.count("*").alias("rows"))
+    upto = Window.partitionBy("source").orderBy("order_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    room = 2 * F.col("part") - 2 * (F.col("ahead") + F.coalesce(F.sum(F.col("rows") * F.col("size")).over(upto), F.lit(0)))
+    some = F.when(F.col("size") == 0, F.when(room >= 0, F.col("rows")).otherwise(0)).otherwise(F.floor((room - F.col("size")) / (2 * F.col("size"))) + 1)
+    record = F.struct("order_hash", "doc_id", "size")
+    dealt = inside.withColumn("some", F.greatest(F.lit(0), F.least(some, F.col("rows"))).cast("long")).where(F.col("some") > 0)
+    broken = F.col("some") < F.col("rows")
+    last = dealt.groupBy(F.col("source").alias("l_source")).agg(F.max(F.when(~broken, record)).alias("last"), F.max(F.when(broken, record)).alias("split"), F.max(F.when(broken, F.col("some"))).alias("some"))
     start = cut.select(F.col("p_source").alias("c_source"), F.shiftleft(F.col("p_range").cast("long"), HASH_BITS - CUT_RANGES.bit_length() + 1).alias("cut_start"))
     plan = plan.join(start, F.col("source").eqNullSafe(F.col("c_source")), "left").join(last, F.col("source").eqNullSafe(F.col("l_source")), "left")
-    return plan.select("source", "source_size", "target", "whole", "cut_start", "last")
+    return plan.select("source", "source_size", "target", "whole", "cut_start", "last", "split", "some")
 
 
-def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("order_hash", hash52(F.lit("mix"), F.lit(seed), F.col("doc_id")))
+def _ordered(docs: DataFrame, seed: int, *more: str) -> DataFrame:
+    """Adds what a row is chosen by: size, a hash of doc_id, text and `more`, and the hash's range."""
+    parts = [F.col("doc_id"), F.coalesce("text", F.lit("")), *map(F.col, more)]
+    rows = docs.withColumn("size", n_words(F.col("text"))).withColumn("order_hash", hash52(F.lit("mix"), F.lit(seed), *parts))
     return rows.withColumn("range", F.shiftright("order_hash", HASH_BITS - CUT_RANGES.bit_length() + 1).cast("int"))
 
 
-def _copies() -> Column:
-    """Whole repetitions, and one more for records before the cut."""
-    first = (F.col("order_hash") < F.col("cut_start")) | (F.struct("order_hash", "doc_id") <= F.col("last"))
-    return F.col("whole") + F.when(F.coalesce(first, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
-
-
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows with source and order_hash, joined to their source's plan; a source with much of the table stays spread out."""
-    plan = materialize(plan, "mixing-cuts")
-    plan = plan.select(F.col("source").alias("m_source"), F.col("source_size").alias("m_size"), F.col("target").alias("m_target"), "whole", "cut_start", "last")
+    plan = plan.select(F.col("source").alias("m_source"), F.col("source_size").alias("m_size"), F.col("target").alias("m_target"), "whole", "cut_start", "last", "split", "some")
     same = F.col("source").eqNullSafe(F.col("m_source"))
     if plan.count() <= BROADCAST_SOURCES:
         return rows.join(F.broadcast(plan), same)
@@ -93,31 +95,55 @@ def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.withColumn("salt", (F.col("order_hash") % SALTS).cast("int")).join(salted, same & (F.col("salt") == F.col("m_salt")))
 
 
+def _dealt(rows: DataFrame, plan: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` of all rows, and `copies`: whole repetitions, and one more for rows before the cut.
+
+    Rows of a split record are counted and laid out again, so that the right number of them gets one more.
+    """
+    plan = materialize(plan, "mixing-cuts")
+    record = F.struct("order_hash", "doc_id", "size")
+    df = _with_plan(rows, plan)
+    first = (F.col("order_hash") < F.col("cut_start")) | (record <= F.col("last"))
+    more = F.when(F.coalesce(first, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
+    if not plan.where("split IS NOT NULL").take(1):
+        return df.select(*keep, (F.col("whole") + more).alias("copies"))
+    apart = F.col("split").isNotNull() & record.eqNullSafe(F.col("split"))
+    out = df.where(~apart).select(*keep, (F.col("whole") + more).alias("copies"))
+    few = df.where(apart).groupBy(*keep, "whole", "some").agg(F.count("*").alias("rows"))
+    few = few.withColumn("k", F.explode(F.array(F.struct(F.col("some").alias("n"), F.lit(1).alias("more")), F.struct((F.col("rows") - F.col("some")).alias("n"), F.lit(0).alias("more")))))
+    few = few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k.n") - 1) / REPEATS))))
+    size = F.least(F.lit(REPEATS), F.col("k.n") - F.col("block") * REPEATS)
+    return out.union(few.withColumn("row_no", F.explode(F.sequence(F.lit(1).cast("long"), size))).select(*keep, (F.col("whole") + F.col("k.more")).alias("copies")))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """How often the mix takes each row of (doc_id, source, text): doc_id, size, source_size, target, taken.
 
     Sizes are words. Sources by code point, null last, get the weights in turn and share `budget` times all words, at most
     `max_epochs` times their own. A row is taken whole, floor or ceiling of its source's rate; which rows get one more
-    depends on seed and doc_id alone. Null texts have size 0; rows of one doc_id in a source, null included, are taken
-    alike. An empty table gives an empty result.
+    depends on seed, doc_id and text alone, and of equal rows on their number, so null and repeated doc_ids are dealt like
+    others. Null texts have size 0. An empty table gives an empty result.
     """
-    rows = materialize(_keyed(docs, seed), "mixing-rows")
-    out = _with_plan(rows, mixing_plan(rows, weights, budget, max_epochs, seed))
-    return out.select("doc_id", "size", F.col("m_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("size") * _copies()).alias("taken"))
+    rows = materialize(_ordered(docs.select("doc_id", "source", "text"), seed).drop("text"), "mixing-rows")
+    out = _dealt(rows, mixing_plan(rows, weights, budget, max_epochs), ["doc_id", "size", "m_size", "m_target"])
+    return out.select("doc_id", "size", F.col("m_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_rows(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """The mix itself: every row of docs, all columns, as often as `mix` takes it. Up to BROADCAST_SOURCES sources, texts aren't shuffled."""
-    rows = materialize(_keyed(docs, seed), "mixing-rows")
-    packed = docs.select(F.struct("*").alias("row"), "doc_id", "source").withColumn("order_hash", hash52(F.lit("mix"), F.lit(seed), F.col("doc_id")))
-    packed = _with_plan(packed, mixing_plan(rows, weights, budget, max_epochs, seed)).withColumn("copies", _copies())
-    return packed.where(F.col("copies") > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
+    """The mix itself: every row of docs, all columns, as often as `mix` takes it; of rows that differ in other columns alone,
+    these decide which get one more. Up to BROADCAST_SOURCES sources, texts aren't shuffled."""
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text", F.xxhash64(F.lit(0), *others).alias("other"))
+    packed = _ordered(packed, seed, "other").select("row", "doc_id", "source", "size", "order_hash", "range")
+    rows = materialize(packed.drop("row"), "mixing-rows")
+    copies = _dealt(packed, mixing_plan(rows, weights, budget, max_epochs), ["row"]).where(F.col("copies") > 0)
+    return copies.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 MIXING_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('mix:17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS h
+    CAST('0x' || substr(md5('mix:17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) AS h
   FROM documents
 ), sizes AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -135,15 +161,10 @@ WITH base AS (
   FROM flagged
 ), split AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets
-), records AS (
-  SELECT source, doc_id, h, sum(size) AS words FROM base GROUP BY source, doc_id, h
 ), ordered AS (
-  SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM records
-), chosen AS (
-  SELECT o.source, o.doc_id, s.source_size, s.target,
-    s.whole + CASE WHEN 2 * o.ahead + o.words <= 2 * greatest(0e0, s.target - s.whole * s.source_size) THEN 1 ELSE 0 END AS copies
-  FROM ordered o JOIN split s ON o.source IS NOT DISTINCT FROM s.source
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM base
 )
-SELECT b.doc_id, b.size, c.source_size, c.target, CAST(b.size * c.copies AS BIGINT) AS taken
-FROM base b JOIN chosen c ON b.source IS NOT DISTINCT FROM c.source AND b.doc_id IS NOT DISTINCT FROM c.doc_id
+SELECT o.doc_id, o.size, s.source_size, s.target,
+  CAST(o.size * (s.whole + CASE WHEN 2 * o.ahead + o.size <= 2 * greatest(0e0, s.target - s.whole * s.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM ordered o JOIN split s ON o.source IS NOT DISTINCT FROM s.source
 """
