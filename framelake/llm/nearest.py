@@ -22,7 +22,7 @@ from .scratch import materialize
 #: Vectors the centroids are fitted on, at most: those with the smallest hashes of vec_id.
 SAMPLE = 20_000
 #: Entries that a cell should hold on average, centroids of a half at most.
-PER_CELL, MOST_CENTROIDS = 24, 256
+PER_CELL, MOST_CENTROIDS = 24, 1024
 #: Entries in the cells that a query visits, at least; the share of all entries is set so that of the sample's own nearest
 #: neighbours this share is found.
 LEAST_ENTRIES, WANTED_RECALL, TRIAL_QUERIES = 3_000, 0.95, 256
@@ -31,12 +31,14 @@ BLOCK, QUERY_CHUNK = 4096, 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of vectors that have a direction, of the commonest dimension; of several under one id, the least."""
+    """(code, vec_id, embedding, copies) of vectors that have a direction; equal rows once, with their number.
+
+    code tells rows of different id or vector apart.
+    """
     v = F.col("embedding")
     sound = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
-    common = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("embedding") == (common["d"] if common else 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.groupBy("vec_id", "embedding").agg(F.count("*").alias("copies")).withColumn("code", F.xxhash64("vec_id", "embedding"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -122,20 +124,32 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """The k nearest of each query: query_id, rank (from 1), vec_id, score (cosine in double precision).
 
     Queries are the rows whose vec_id is divisible by `every`, candidates all rows but the query's own; ties go to the
-    smaller vec_id. Vectors that are null, zero, or hold null or non-finite components take no part; an empty table gives
-    an empty result. Of equal vectors only the k + 1 with the smallest ids can be among the nearest, so only these are
-    indexed. Cells are stored in blocks of bounded size and queries meet them in chunks, so a crowded cell is many rows.
+    smaller vec_id. Rows that share a vec_id, with equal vectors or others, are queries and candidates each. Vectors that
+    are null, zero, or hold null or non-finite components take no part; vectors of one length are searched among
+    themselves, since there is no angle between others. An empty table gives an empty result.
+    """
+    kind = dict(vectors.dtypes)["vec_id"]
+    rows = materialize(usable(vectors).withColumn("length", F.size("embedding")), "nearest-rows")
+    out = vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+    for r in rows.groupBy("length").count().orderBy("length").collect():
+        out = out.union(_search(rows.where(F.col("length") == r["length"]).drop("length"), k, every))
+    return out
+
+
+def _search(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """search among usable rows of one length.
+
+    Of equal vectors only the k + 1 first rows by vec_id can be among the nearest, so only these are indexed. Cells are
+    stored in blocks of bounded size and queries meet them in chunks, so a crowded cell is many rows.
     """
-    spark = vectors.sparkSession
-    rows = usable(vectors)
-    kind = dict(rows.dtypes)["vec_id"]
+    spark = rows.sparkSession
+    kind, vector = dict(rows.dtypes)["vec_id"], dict(rows.dtypes)["embedding"]
     first = Window.partitionBy("embedding").orderBy("vec_id")
-    entries = materialize(rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).drop("n"), "nearest-entries")
+    entries = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    entries = materialize(entries.select("code", "vec_id", "embedding", F.least("copies", F.lit(k + 1)).cast("int").alias("copies")), "nearest-entries")
     total = entries.count()
-    sample = entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    if not sample:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    x = scaled(np.array([r["embedding"] for r in sample], np.float64))
+    sample = entries.orderBy(F.xxhash64("vec_id"), "vec_id", "code").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
+    x = scaled(matrix(sample.chunk(0) if isinstance(sample, pa.ChunkedArray) else sample))
     half = x.shape[1] // 2
     size = int(min(MOST_CENTROIDS, max(1, round((total / PER_CELL) ** 0.5))))
     index = MultiIndex(fit_centroids(x[:, :half], size), fit_centroids(x[:, half:], size))
@@ -144,9 +158,9 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fitted.value.cells(matrix(b.column(1))).astype(np.int32))], ["vec_id", "embedding", "cell"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fitted.value.cells(matrix(b.column(2))).astype(np.int32))], ["code", "vec_id", "embedding", "copies", "cell"])
 
-    placed = materialize(entries.mapInArrow(place, f"vec_id {kind}, embedding {dict(rows.dtypes)['embedding']}, cell int"), "nearest-cells")
+    placed = materialize(entries.mapInArrow(place, f"code long, vec_id {kind}, embedding {vector}, copies int, cell int"), "nearest-cells")
     # At most MOST_CENTROIDS^2 numbers.
     counts = np.zeros(len(index.left) * len(index.right), np.int64)
     for r in placed.groupBy("cell").count().collect():
@@ -163,41 +177,49 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 rows = [(r, left, right) for r, cells in counted.value.visit(matrix(part.column(1)), enough) for left, right in cells.items()]
                 take = pa.array([r for r, _, _ in rows])
                 columns = [part.column(0).take(take), part.column(1).take(take), pa.array([x for _, x, _ in rows], pa.int32()), pa.array([x for _, _, x in rows], pa.list_(pa.int32())), pa.array([blocks[x] for _, x, _ in rows], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "query", "left", "rights", "blocks"])
+                yield pa.RecordBatch.from_arrays(columns, ["asked", "query", "left", "rights", "blocks"])
 
     # A row for each query and left centroid; the entries of a left centroid are dealt to blocks of bounded size.
-    vector = dict(rows.dtypes)["embedding"]
-    queries = rows.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
+    queries = materialize(rows.where(F.col("vec_id") % every == 0), "nearest-queries")
     chunks = max(1, -(-queries.count() // QUERY_CHUNK))
-    visits = queries.mapInArrow(visit, f"query_id {kind}, query {vector}, left int, rights array<int>, blocks int")
-    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
-    asked = visits.groupBy("left", "block", "chunk").agg(F.collect_list(F.struct("query_id", "query", "rights")).alias("q"))
+    visits = queries.select("code", "embedding").mapInArrow(visit, f"asked long, query {vector}, left int, rights array<int>, blocks int")
+    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("chunk", F.pmod(F.xxhash64("asked"), F.lit(chunks)))
+    asked = visits.groupBy("left", "block", "chunk").agg(F.collect_list(F.struct("asked", "query", "rights")).alias("q"))
     known = spark.createDataFrame(list(enumerate(blocks)), "left int, blocks int")
-    held = placed.select("vec_id", "embedding", (F.col("cell") % n_right).alias("right"), F.floor(F.col("cell") / n_right).cast("int").alias("left"))
-    held = held.join(F.broadcast(known), "left").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int"))
-    held = held.groupBy("left", "block").agg(F.collect_list(F.struct("vec_id", "embedding", "right")).alias("e"))
+    held = placed.select("code", "vec_id", "embedding", (F.col("cell") % n_right).alias("right"), "copies", F.floor(F.col("cell") / n_right).cast("int").alias("left"))
+    held = held.join(F.broadcast(known), "left").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks").cast("long")).cast("int"))
+    held = held.groupBy("left", "block").agg(F.collect_list(F.struct("code", "embedding", "right", "vec_id", "copies")).alias("e"))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 asking, entry = b.column(0)[i].values, b.column(1)[i].values
                 q, e = matrix(asking.field(1)), matrix(entry.field(1))
-                qn, en = (x.field(0).to_numpy(zero_copy_only=False) for x in (asking, entry))
+                qn, en, ids, copies = (x.to_numpy(zero_copy_only=False) for x in (asking.field(0), entry.field(0), entry.field(3), entry.field(4)))
                 rights = asking.field(2)
                 visited = np.zeros((len(q), n_right), bool)
                 visited[pc.list_parent_indices(rights).to_numpy(), pc.list_flatten(rights).to_numpy(zero_copy_only=False)] = True
                 near = scaled(q) @ scaled(e).T
-                near[~visited[:, entry.field(2).to_numpy(zero_copy_only=False)] | (qn[:, None] == en[None, :])] = -np.inf
+                # The query's own row is none of its candidates; equal rows beside it are.
+                near[~visited[:, entry.field(2).to_numpy(zero_copy_only=False)] | ((qn[:, None] == en[None, :]) & (copies < 2)[None, :])] = -np.inf
                 last = np.partition(near, -k, 1)[:, -k] if near.shape[1] > k else np.full(len(q), -2.0)
                 # Near ties stay in; the exact measure and the ids decide.
                 a, c = np.nonzero(near >= np.maximum(-2.0, last - 1e-9)[:, None])
                 score = cosines(q[a], e[c])
-                order = np.lexsort((en[c], -score, a))
+                order = np.lexsort((ids[c], -score, a))
                 a, c, score = a[order], c[order], score[order]
                 best = np.arange(len(a)) - np.searchsorted(a, a, "left") < k
-                yield pa.RecordBatch.from_arrays([pa.array(qn[a[best]]), pa.array(en[c[best]]), pa.array(score[best])], ["query_id", "vec_id", "score"])
+                a, c, score = a[best], c[best], score[best]
+                times = np.minimum(k, copies[c] - (qn[a] == en[c])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(qn[a]), pa.array(ids[c]), pa.array(score), pa.array(times)], ["asked", "vec_id", "score", "times"])
 
     met = asked.join(held, ["left", "block"]).select("q", "e")
-    found = met.mapInArrow(rerank, f"query_id {kind}, vec_id {kind}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = met.mapInArrow(rerank, f"asked long, vec_id {kind}, score double, times int")
+    found = found.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("again", "times")
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # Equal query rows, laid out from blocks, have one answer.
+    block = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / BLOCK))
+    named = queries.select(F.col("code").alias("asked"), F.col("vec_id").alias("query_id"), F.explode(block).alias("at"), "copies")
+    named = ranked.join(named, "asked").withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(BLOCK), F.col("copies") - F.col("at") * BLOCK))))
+    return named.select("query_id", "rank", "vec_id", "score")
