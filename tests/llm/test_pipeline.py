@@ -3,8 +3,8 @@ from collections import Counter
 import corpus_pipeline
 from framelake.llm import toxicity
 from framelake.llm.scratch import materialize, table
+from test_near_copies import brute_kept
 from test_sharding_mixing_chat import water
-from test_simhash import brute, brute_print
 from test_tokens_leaks_urls import brute_leaks
 
 SF = "/root/testdata/sf0.001"
@@ -22,8 +22,7 @@ def test_stages_equal_brute_force(spark):
         if name == "toxicity":
             want = Counter(d for d, t, _ in rows if scorer.score(t) < 0.5)
         elif name == "simhash near-dedup":
-            groups = brute([brute_print(t) for _, t, _ in rows], [d for d, _, _ in rows])
-            want = Counter(d for _, d, _, c in groups if d == c)
+            want = brute_kept([(d, t) for d, t, _ in rows])
         elif name == "benchmark decontamination":
             leaked = {d for d, _ in brute_leaks([(d, t) for d, t, _ in rows], bench)}
             want = Counter(d for d, _, _ in rows if d not in leaked)

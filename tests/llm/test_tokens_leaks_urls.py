@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter as Tally
 
 import numpy as np
@@ -111,6 +112,43 @@ def test_leaks_in_blocks_and_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert D.drop_leaks(odd_docs, bench.limit(0)).count() == odd_docs.count()
 
 
+def test_repetitive_texts_equal_brute_force(spark, monkeypatch):
+    """Words, pairs and triples over and over, with hits listed, listed item by item, or taken as everywhere."""
+    rng = random.Random(7)
+    loop = lambda ws, n: " ".join((ws * n)[:n])
+    items = [(0, loop(["a"], 40)), (1, loop(["a", "b"], 33)), (2, loop(["a", "b", "c"], 20)), (3, "a a a"), (4, loop(["a"], 15) + " " + loop(["q"], 15)), (5, "a b c d e f g h i j k l m n o p")]
+    docs = [(d, " ".join(x for w in range(rng.randint(1, 6)) for x in [loop(rng.choice([["a"], ["a", "b"], ["a", "b", "c"], ["q"], ["z", "a"]]), rng.randint(1, 60))])) for d in range(60)]
+    docs += [(90, "x " * 30 + items[5][1]), (91, ""), (92, None)]
+    want = brute_leaks([(d, t) for d, t in docs], items)
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id int, text string")
+    answers = []
+    for most, compared in ((1 << 19, 1 << 21), (40, 100), (0, 1 << 21)):
+        monkeypatch.setattr(D, "MOST_HITS", max(1, most))
+        monkeypatch.setattr(D, "COMPARED", compared)
+        index = D.SeedIndex([t for _, t in items])
+        answers.append(sorted((docs[r][0], *rest) for r, *rest in index.leaks([t for _, t in docs])))
+        assert {(d, i) for d, i, *_ in answers[-1]} == want and len(answers[-1]) == len(want)
+    assert answers[0] == answers[1] == answers[2]
+    assert {(r["doc_id"], r["item_id"]) for r in D.find_leaks(df, bench).collect()} == want
+
+
+def test_very_repetitive_texts_in_bounded_time():
+    index = D.SeedIndex(["word " * 10_000, "a b " * 3_000])
+    began = time.process_time()
+    got = list(index.leaks(["word " * 100_000, "a b " * 20_000]))
+    assert [(r, i, s, m) for r, i, s, m, *_ in got] == [(0, 0, 1.0, 10_000), (1, 1, 1.0, 6_000)]
+    assert time.process_time() - began < 60
+
+
+@pytest.mark.parametrize("kind, ids", [("int", [7, None]), ("bigint", [None, 7]), ("string", [None, "b"]), ("decimal(20,0)", [None, 7])])
+def test_ids_of_any_type(spark, kind, ids):
+    bench = spark.createDataFrame([(str(i) if i is not None else None, t) for i, t in zip(ids, ["one two three", "four five six"])], "item_id string, text string")
+    docs = spark.createDataFrame([("d1", "four five six"), (None, "one two three"), ("d2", "none of them")], "doc_id string, text string")
+    got = D.find_leaks(docs, bench.withColumn("item_id", bench["item_id"].cast(kind)))
+    assert dict(got.dtypes)["item_id"] == kind
+    assert {(r["doc_id"], r["item_id"] and str(r["item_id"])) for r in got.collect()} == {("d1", ids[1] and str(ids[1])), (None, ids[0] and str(ids[0]))}
+
+
 def test_cascade_is_exact_over_its_universe():
     rng = np.random.default_rng(2)
     for n, m in ((1, 1000), (50, 20_000), (3000, 3000), (1, 0)):
@@ -146,4 +184,8 @@ def test_urls_equal_brute_force(spark):
     got = Tally(map(tuple, U.judge(pages, RULES).collect()))
     assert got == Tally((p, *judged(u)) for p, u, *_ in rows)
     assert U.judge(pages.limit(0), RULES).count() == 0
+    long = spark.createDataFrame([(1, "http://" + "a." * 100_000 + "example.org/es/x"), (2, "http://" + "." * 100_000 + "/de/"), (3, "http://x.com" + "/fr" * 50_000)], "page_id bigint, url string")
+    began = time.time()
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judge(long, RULES).collect()} == {1: ("example.org/es/", "block"), 2: (None, "allow"), 3: ("com/fr/", "allow")}
+    assert time.time() - began < 30
     assert {r["verdict"] for r in U.judge(pages, []).collect()} == {"allow"}

@@ -1,4 +1,5 @@
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -79,6 +80,28 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert T.score_documents(no_docs, T.train(no_docs, labels)).count() == 0
 
 
+def test_query_equals_a_plain_version(spark, tables, scorer):
+    """Fold, score and prediction of every row, by a loop without Spark."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted((r["doc_id"], zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0, scorer.score(r["text"]), int(scorer.score(r["text"]) >= 0.5)) for r in docs.collect())
+    assert sorted(map(tuple, T.score_documents(docs, scorer).collect())) == want
+    # What is learned: no held-out label, and not more rows than the parameter says.
+    labelled = {r["doc_id"]: r["toxic"] for r in tables[1].collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    texts = {}
+    for r in tables[0].collect():
+        if r["doc_id"] in labelled:
+            texts[r["text"]] = max(texts.get(r["text"], 0), labelled[r["doc_id"]])
+    assert {r["text"]: r["toxic"] for r in T.training_rows(*tables).collect()} == texts and len(labelled) <= T.TRAIN_ROWS
+
+
+def test_one_class_and_repeated_labels(spark, odd_docs):
+    kinds = "doc_id bigint, quality int, toxic int, text string, source string"
+    for toxic in (0, 1):
+        labels = spark.createDataFrame([(d, None, toxic, "x", None) for d in (1, 2, 3, 3, 4, 5, 6, 8, 9, 10, 11)], kinds)
+        rows = T.score_documents(odd_docs, T.train(odd_docs, labels)).collect()
+        assert len(rows) == odd_docs.count() and all(0 <= r["score"] <= 1 and r["held_out"] is not None for r in rows)
+
+
 def test_labels_are_not_inputs_of_held_out_scores(spark, tables, scorer):
     """Turning the held-out labels round changes nothing."""
     from pyspark.sql import functions as F
