@@ -52,11 +52,9 @@ def shard_documents(docs: DataFrame, n_shards: int, weights: Sequence[float] | N
     w = list(weights) if weights is not None else [1.0] * n_shards
     shards = list(enumerate(w))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = (
-        docs.select(F.col("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
-        .groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
-    )
-    rows = assign_shards(rows, F.col("doc_id"), shards, (n_shards, 1.0))
+    rows = docs.select(F.col("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
+    # Scores are drawn where the rows are read, by as many tasks as there is text.
+    rows = assign_shards(rows, F.col("doc_id"), shards, (n_shards, 1.0)).groupBy("doc_id", "size", "text_crc32", "shard", "grown_shard").agg(F.count("*").alias("copies"))
     last = F.floor((F.col("copies") - 1) / REPEATS)
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     rows = rows.withColumn("copies", F.least(F.lit(REPEATS), F.col("copies") - F.col("block") * REPEATS))
