@@ -59,19 +59,23 @@ def matrix_choice(is_hdr: Column, source: Column) -> Column:
     return F.when(is_hdr, F.coalesce(F.nullif(source, F.lit("")), F.lit("bt2020nc"))).otherwise("bt709")
 
 
-def plan(probe: DataFrame, tracks: DataFrame, crops: DataFrame, audio: DataFrame, preset: str = "grain", denoise_filter: str = "", film_grain: int | None = None, film_grain_denoise: bool | None = None) -> DataFrame:
+def plan(probe: DataFrame, tracks: DataFrame, crops: DataFrame, audio: DataFrame, preset: str = "grain", settings: DataFrame | None = None) -> DataFrame:
     """One row for each file whose tracks can be read: what it is and how to encode it.
 
-    All joins are on file_id, as are the aggregations below them; the settings are constants of the job.
+    All joins are on file_id, as are the aggregations below them. settings: a row of file_settings for each file that is to
+    be planned; without it all files have those of the preset.
     """
-    names = [c.split()[0] for c in C.PRESET_COLUMNS.split(", ")]
-    chosen = dict(zip(names, next((p for p in C.PRESETS if p[0] == preset), C.PRESETS[0])))
-    settings = {k: F.lit(v) for k, v in chosen.items()} | {"denoise_filter": F.lit(denoise_filter), "film_grain": F.lit(film_grain).cast("int"), "film_grain_denoise": F.lit(film_grain_denoise).cast("boolean")}
     hdr = X.hdr_from_track(F.col("colour_primaries"), F.col("transfer_characteristics"), F.col("matrix_coefficients"))
     facts = tracks.select("file_id", hdr.alias("is_hdr"), F.col("matrix_coefficients").alias("source_matrix"))
     sounds = A.ordered(audio).select("file_id", F.transform("s", lambda x: x["channels"]).alias("ch"))
     df = probe.select("file_id", "width", "height", "duration_secs").join(facts, "file_id").join(K.decide_all(probe, crops).select("file_id", "crop_filter"), "file_id").join(sounds, "file_id", "left")
-    df = df.withColumns(settings).withColumn("ch", F.coalesce("ch", F.array().cast("array<bigint>")))
+    if settings is None:
+        names = [c.split()[0] for c in C.PRESET_COLUMNS.split(", ")]
+        chosen = dict(zip(names, next((p for p in C.PRESETS if p[0] == preset), C.PRESETS[0])))
+        df = df.withColumns({k: F.lit(v) for k, v in chosen.items()} | {"denoise_filter": F.lit(""), "film_grain": F.lit(None).cast("int"), "film_grain_denoise": F.lit(None).cast("boolean")})
+    else:
+        df = df.join(settings, "file_id")
+    df = df.withColumn("ch", F.coalesce("ch", F.array().cast("array<bigint>")))
     df = df.withColumn("crf", F.when(F.col("width") >= X.UHD_WIDTH, F.col("crf_uhd")).when(F.col("width") >= X.HD_WIDTH, F.col("crf_hd")).otherwise(F.col("crf_sd")))
     w, h = X.output_dims(F.col("width"), F.col("height"), F.col("crop_filter"))
     return df.select(
@@ -92,6 +96,18 @@ def plan(probe: DataFrame, tracks: DataFrame, crops: DataFrame, audio: DataFrame
     )
 
 
+def file_settings(files: DataFrame, requests: DataFrame, tuning: DataFrame) -> DataFrame:
+    """The settings of each file of (file_id, request_id) whose request is sound; files of others have no row.
+
+    tuning: request_id, variance_boost, boost_strength, boost_octile, denoise_filter, which win over the preset where given.
+    """
+    boost = ["variance_boost", "boost_strength", "boost_octile"]
+    base = C.presets(requests.sparkSession).select("preset", *[F.col(c).alias(f"p_{c}") for c in boost])
+    asked = C.resolved(requests).join(F.broadcast(base), "preset").join(tuning, "request_id", "left")
+    asked = asked.select("request_id", "crf_sd", "crf_hd", "crf_uhd", "encoder_preset", "tune", "ac_bias", "film_grain", "film_grain_denoise", *[F.coalesce(c, f"p_{c}").alias(c) for c in boost], F.coalesce("denoise_filter", F.lit("")).alias("denoise_filter"))
+    return files.join(asked, "request_id").drop("request_id")
+
+
 def tasks(plans: DataFrame, streams: DataFrame) -> DataFrame:
     """The tasks of each plan: the video, each audio stream, and the mux of them, which waits for all the others."""
     none = {"audio_index": F.lit(None).cast("int"), "bitrate_kbps": F.lit(None).cast("bigint"), "disposition": F.lit(None).cast("string")}

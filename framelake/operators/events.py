@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import exprs as X
@@ -69,8 +69,14 @@ def _join(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _lines(df: DataFrame, source: str, key: Column, no: Column, level: Column | str, message: Column) -> DataFrame:
-    return df.select(_join(f"{source}/", X.text(key)).alias("event_key"), no.cast("int").alias("line_no"), (F.lit(level) if isinstance(level, str) else level).alias("level"), message.alias("message"))
+def _line(no: Column | int, level: Column | str, message: Column | str) -> Column:
+    return F.struct((F.lit(no) if isinstance(no, int) else no).cast("int").alias("line_no"), (F.lit(level) if isinstance(level, str) else level).alias("level"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+
+
+def _lines(df: DataFrame, source: str, key: str, lines: Column) -> DataFrame:
+    """One pass over df: a row for each line of each row's array."""
+    df = df.select(_join(f"{source}/", X.text(F.col(key))).alias("event_key"), F.explode(lines).alias("l"))
+    return df.select("event_key", "l.line_no", "l.level", "l.message")
 
 
 def progress_lines(parsed: DataFrame) -> DataFrame:
@@ -79,15 +85,15 @@ def progress_lines(parsed: DataFrame) -> DataFrame:
     df = P.gate(snapshots).select("event_id").join(parsed, "event_id")
     d = lambda c: X.fixed(F.col(c), 1)
     message = _join("Progress: ", X.fixed(F.col("percent"), 0), "% (speed ", d("speed"), "x, fps ", d("fps"), ", eta ", X.clock_text(F.col("eta")), ")")
-    return _lines(df, "progress", F.col("event_id"), F.lit(0), "INFO", message)
+    return _lines(df, "progress", "event_id", F.array(_line(0, "INFO", message)))
 
 
-def validation_lines(steps: DataFrame) -> DataFrame:
+def validation_lines(checked: DataFrame) -> DataFrame:
     """The verdict of each file, then its steps."""
-    verdict = steps.groupBy("file_id").agg(F.bool_and("passed").alias("ok"))
-    first = _lines(verdict, "validation", F.col("file_id"), F.lit(0), F.when(F.col("ok"), "INFO").otherwise("WARN"), F.when(F.col("ok"), "Result: PASSED").otherwise("Result: FAILED"))
-    each = _join("  - ", F.col("name"), ": ", F.when(F.col("passed"), "ok").otherwise("FAILED"), " (", F.col("details"), ")")
-    return first.union(_lines(steps, "validation", F.col("file_id"), F.col("step_no"), "INFO", each))
+    ok = F.col("is_valid")
+    verdict = _line(0, F.when(ok, "INFO").otherwise("WARN"), F.when(ok, "Result: PASSED").otherwise("Result: FAILED"))
+    each = F.transform("steps", lambda s, i: _line(i + 1, "INFO", _join("  - ", s["name"], ": ", F.when(s["passed"], "ok").otherwise("FAILED"), " (", s["details"], ")")))
+    return _lines(checked, "validation", "file_id", F.concat(F.array(verdict), each))
 
 
 def _size_line(before: str, after: str, reduction: Column) -> Column:
@@ -99,28 +105,31 @@ def _time_line(ms: str, rate: str) -> Column:
 
 
 def result_lines(results: DataFrame) -> DataFrame:
-    size = _lines(results, "result", F.col("file_id"), F.lit(0), "INFO", _size_line("input_size", "output_size", F.col("reduction_pct")))
-    return size.union(_lines(results, "result", F.col("file_id"), F.lit(1), "INFO", _time_line("elapsed_ms", "speed")))
+    said = [_size_line("input_size", "output_size", F.col("reduction_pct")), _time_line("elapsed_ms", "speed")]
+    return _lines(results, "result", "file_id", F.array(*[_line(k, "INFO", m) for k, m in enumerate(said)]))
 
 
 def batch_lines(summary: DataFrame) -> DataFrame:
-    key, t = F.col("batch"), lambda c: X.text(F.col(c))
-    out = [
+    t = lambda c: X.text(F.col(c))
+    said = [
         _join(t("successful"), " of ", t("total_files"), " succeeded"),
         _join("Validation: ", t("passed"), " passed, ", t("failed"), " failed"),
         _size_line("input_bytes", "output_bytes", X.size_reduction(F.col("input_bytes"), F.col("output_bytes"))),
         _time_line("elapsed_ms", "avg_speed"),
     ]
-    return reduce(DataFrame.union, [_lines(summary, "batch", key, F.lit(k), "INFO", m) for k, m in enumerate(out)])
+    return _lines(summary, "batch", "batch", F.array(*[_line(k, "INFO", m) for k, m in enumerate(said)]))
 
 
-def candidate_lines(candidates: DataFrame, top: DataFrame) -> DataFrame:
+def candidate_lines(candidates: DataFrame, most: int = 10) -> DataFrame:
     """For debugging: how many crops a file's samples gave, the first of them, and how many more there are."""
-    sums = candidates.groupBy("file_id").agg(F.sum("cnt").alias("samples"), F.count("*").alias("n"))
-    head = _lines(sums, "crop", F.col("file_id"), F.lit(0), "DEBUG", _join("Crop candidates (", X.text(F.col("samples")), " samples, ", X.text(F.col("n")), " unique values):"))
-    each = _join("  ", X.text(F.col("rank")), ". crop=", F.col("crop"), " count=", X.text(F.col("cnt")), " (", X.fixed(F.col("pct"), 1), "%)")
-    more = _lines(top.where("remainder IS NOT NULL"), "crop", F.col("file_id"), F.lit(11), "DEBUG", _join("  ... and ", X.text(F.col("remainder")), " more"))
-    return head.union(_lines(top, "crop", F.col("file_id"), F.col("rank"), "DEBUG", each)).union(more)
+    file = Window.partitionBy("file_id")
+    df = candidates.withColumns({"samples": F.sum("cnt").over(file), "n": F.count("*").over(file)}).where(F.col("rank") <= most)
+    t, rank = lambda c: X.text(F.col(c)), F.col("rank")
+    head = _line(0, "DEBUG", _join("Crop candidates (", t("samples"), " samples, ", t("n"), " unique values):"))
+    each = _line(rank, "DEBUG", _join("  ", t("rank"), ". crop=", F.col("crop"), " count=", t("cnt"), " (", X.fixed(F.col("pct"), 1), "%)"))
+    more = _line(most + 1, "DEBUG", _join("  ... and ", X.text(F.greatest(F.col("n") - most, F.lit(0))), " more"))
+    lines = F.array(F.when(rank == 1, head), each, F.when(rank == most, more))
+    return _lines(df, "crop", "file_id", F.filter(lines, lambda x: x.isNotNull()))
 
 
 def at_level(lines: DataFrame, verbose: bool) -> DataFrame:

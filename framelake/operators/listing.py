@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from framelake.functions import exprs as X
 
+from .numbering import numbered
+
 OUTPUT_DIR = "/out"
 
 
@@ -52,11 +54,9 @@ def collisions(files: DataFrame) -> DataFrame:
 
 def positions(files: DataFrame) -> DataFrame:
     """File i of n in each directory with more than one video: directory, file_id, current_file, total_files."""
-    df = videos(files).withColumn("directory", X.directory(F.col("path")))
-    order = Window.partitionBy("directory").orderBy(F.lower("name"), "path", "file_id")
-    n = F.count("*").over(Window.partitionBy("directory"))
-    df = df.select("directory", "file_id", F.row_number().over(order).alias("current_file"), n.alias("total_files"))
-    return df.where("total_files > 1")
+    df = videos(files).select(X.directory(F.col("path")).alias("directory"), F.lower("name").alias("low"), "path", "file_id")
+    df = numbered(df, "directory", ["low", "path", "file_id"]).where("in_group > 1")
+    return df.select("directory", "file_id", F.col("position").alias("current_file"), F.col("in_group").alias("total_files"))
 
 
 def stale(files: DataFrame, prefix: str, max_age_hours: float) -> DataFrame:

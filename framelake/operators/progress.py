@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from framelake.functions import exprs as X
 
 GATE_PERCENT, LAST_BUCKET = 5, 20
-U64 = 2**63 - 1
 
 
 def _field(name: str, line: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import exprs as X
 
+from .numbering import numbered
+
 
 def encode_results(inputs: DataFrame, outputs: DataFrame, checked: DataFrame) -> DataFrame:
     """file_id, input_size, output_size (0 if unknown), reduction_pct, speed, video_ms, elapsed_ms, is_valid of encoded files.
@@ -57,5 +59,4 @@ def outcome(summarised: DataFrame, results: DataFrame) -> DataFrame:
 
 def file_reductions(results: DataFrame) -> DataFrame:
     """Each batch's files in their order with what each saved: batch, position, filename, reduction_pct."""
-    position = F.row_number().over(Window.partitionBy("batch").orderBy("file_id"))
-    return results.select("batch", position.alias("position"), "filename", "reduction_pct")
+    return numbered(results.select("batch", "file_id", "filename", "reduction_pct"), "batch", ["file_id"]).select("batch", "position", "filename", "reduction_pct")

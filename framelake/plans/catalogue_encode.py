@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from framelake.functions import exprs as X
 from framelake.operators import audio, crop, encoding, listing, results, validation
 
-from .catalogue_files import PLANNED_SQL, TRACK_HDR
+from framelake.sources.tables import materialize
+
+from .catalogue_files import CRF_SQL, EFFECTIVE_SQL, PLANNED_SQL, PRESET_SQL, TRACK_HDR
 from .catalogue_media import TO_DECISION, sql
 from .relations import relation
 
@@ -32,6 +34,30 @@ def plans(s: SparkSession, d: str) -> DataFrame:
     return encoding.plan(relation(s, d, "m_probe"), relation(s, d, "m_track"), relation(s, d, "m_crop"), relation(s, d, "m_audio"))
 
 
+def requested_plans(s: SparkSession, d: str) -> DataFrame:
+    """Each file planned as its own request asks; files whose request fails a rule are left out."""
+    settings = encoding.file_settings(relation(s, d, "m_asked"), relation(s, d, "m_request"), relation(s, d, "m_tuning"))
+    return encoding.plan(relation(s, d, "m_probe"), relation(s, d, "m_track"), relation(s, d, "m_crop"), relation(s, d, "m_audio"), settings=settings)
+
+
+REQUESTED_SQL = f"""{ALL_CROPS_SQL},{PRESET_SQL},{CRF_SQL},{EFFECTIVE_SQL},
+track_hdr AS (SELECT *, {TRACK_HDR} AS is_hdr FROM m_track),
+settings AS (SELECT a.file_id, e.*, coalesce(t.variance_boost, p.variance_boost) AS boost, coalesce(t.boost_strength, p.boost_strength) AS strength, coalesce(t.boost_octile, p.boost_octile) AS octile, coalesce(denoise_filter, '') AS denoise
+  FROM m_asked a JOIN effective e ON a.request_id = e.request_id AND e.error IS NULL JOIN presets p ON e.preset = p.preset LEFT JOIN m_tuning t ON e.request_id = t.request_id),
+sized AS (SELECT d.*, s.* EXCLUDE (file_id), CASE WHEN width >= 3840 THEN crf_uhd WHEN width >= 1920 THEN crf_hd ELSE crf_sd END AS crf FROM dims d JOIN settings s ON d.file_id = s.file_id),
+plan AS (SELECT d.file_id, CASE WHEN width >= 3840 THEN 'UHD' WHEN width >= 1920 THEN 'HD' ELSE 'SD' END AS category, width || 'x' || height AS resolution,
+  printf('%02d:%02d:%02d', CAST(floor(duration_secs) AS BIGINT) // 3600, CAST(floor(duration_secs) AS BIGINT) % 3600 // 60, CAST(floor(duration_secs) AS BIGINT) % 60) AS duration,
+  crf, is_hdr, CASE WHEN is_hdr THEN CASE WHEN matrix_coefficients = '' THEN 'bt2020nc' ELSE matrix_coefficients END ELSE 'bt709' END AS matrix,
+  crop_filter, concat_ws(',', nullif(crop_filter, ''), nullif(denoise, '')) AS filter_chain,
+  'ac-bias=' || ac_bias || ':enable-variance-boost=' || CASE WHEN boost THEN '1:variance-boost-strength=' || strength || ':variance-octile=' || octile ELSE '0' END || ':tune=' || tune || ':keyint=10s:scd=1:scm=0'
+    || CASE WHEN film_grain IS NULL THEN '' ELSE ':film-grain=' || film_grain || CASE WHEN film_grain_denoise IS NULL THEN '' WHEN film_grain_denoise THEN ':film-grain-denoise=1' ELSE ':film-grain-denoise=0' END END AS svt_params,
+  'CRF=' || crf || ', SVT preset=' || encoder_preset || ', Tune=' || tune || ', AC bias=' || printf('%.2f', CAST(ac_bias AS DOUBLE)) || ', Variance boost=' || CASE WHEN boost THEN 'enabled (strength ' || strength || ', octile ' || octile || ')' ELSE 'disabled' END
+    || CASE WHEN denoise = '' THEN '' ELSE ', Denoise=' || denoise END
+    || CASE WHEN film_grain IS NULL THEN '' ELSE ', Film grain synth=film-grain ' || film_grain || ', denoise ' || CASE WHEN film_grain_denoise IS NULL THEN '-' WHEN film_grain_denoise THEN '1' ELSE '0' END END AS settings,
+  coalesce(a.config, 'No audio') AS audio_config, out_w AS out_width, out_h AS out_height
+  FROM sized d JOIN track_hdr t ON d.file_id = t.file_id LEFT JOIN audio_texts a ON d.file_id = a.file_id)"""
+
+
 def checked(s: SparkSession, d: str) -> DataFrame:
     """The live rules over m_output: all is expected, taken from m_probe, the crops and the audio."""
     probe, c = relation(s, d, "m_probe"), F.col
@@ -137,6 +163,7 @@ def track_check(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "encode_plan": (plans, sql("m_crop m_track m_audio", f",{PLAN_SQL} SELECT * FROM plan", *TO_DECISION, "audio_lists")),
+    "encode_plan_requested": (requested_plans, sql("m_crop m_track m_audio m_request m_asked m_tuning", f",{REQUESTED_SQL} SELECT * FROM plan", *TO_DECISION, "audio_lists")),
     "encode_tasks": (
         lambda s, d: encoding.tasks(plans(s, d), audio.streams(relation(s, d, "m_audio"))),
         sql("m_crop m_track m_audio", f""",{PLAN_SQL}, counted AS (SELECT p.file_id, coalesce(n, 0) AS n FROM plan p LEFT JOIN audio_texts a ON p.file_id = a.file_id)
@@ -171,7 +198,7 @@ UNION ALL SELECT file_id, CAST(n + 1 AS INTEGER), 'mux', NULL, NULL, NULL, array
         _results_sql("SELECT batch, successful, total_files, input_bytes, output_bytes, CASE WHEN input_bytes = 0 THEN 0e0 ELSE (input_bytes - output_bytes) / CAST(input_bytes AS DOUBLE) * 100e0 END AS reduction_pct, passed FROM summary"),
     ),
     "batch_outcome": (
-        lambda s, d: (lambda done: results.outcome(summarised(s, d, done), batched(done)))(encoded(s, d).persist()),
+        lambda s, d: (lambda done: results.outcome(summarised(s, d, done), batched(done)))(materialize(encoded(s, d), "results")),
         _results_sql("""SELECT batch, CASE successful WHEN 0 THEN 'warning' WHEN 1 THEN 'operation_complete' ELSE 'batch_complete' END AS kind, CASE successful WHEN 0 THEN 'No files were successfully encoded'
   WHEN 1 THEN 'Successfully encoded ' || only_name ELSE successful || ' of ' || total_files || ' succeeded' END AS message FROM summary"""),
     ),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.operators import crop, events, progress, validation
+from framelake.operators import crop, events, progress
+from framelake.sources.tables import materialize
 
 from .catalogue_encode import CHECK_SQL, RESULTS_SQL, checked, encoded, summarised
 from .catalogue_media import TO_DECISION, sql
@@ -51,7 +52,7 @@ lines AS (
 
 
 def event_log(s: SparkSession, d: str) -> DataFrame:
-    found = encoded(s, d).persist()  # read by three parts of the log
+    found = materialize(encoded(s, d), "results")  # read by three parts of the log
     done = found.withColumn("ts_epoch", F.lit(SECOND) + F.col("file_id"))
     batches = summarised(s, d, found).withColumn("ts_epoch", F.lit(SECOND) + F.col("batch"))
     return events.union([events.progress_events(relation(s, d, "m_progress")), events.result_events(done), events.batch_events(batches)])
@@ -59,15 +60,21 @@ def event_log(s: SparkSession, d: str) -> DataFrame:
 
 def log_lines(s: SparkSession, d: str) -> DataFrame:
     samples = relation(s, d, "m_crop")
-    check = checked(s, d).persist()
-    done = encoded(s, d, check).persist()
+    check = materialize(checked(s, d), "checked")
+    done = materialize(encoded(s, d, check), "results")
     parts = [
-        events.progress_lines(progress.parse_lines(relation(s, d, "m_line"))), events.validation_lines(validation.steps(check)), events.result_lines(done), events.batch_lines(summarised(s, d, done)),
-        events.candidate_lines(crop.candidates(samples), crop.top_candidates(samples)),
+        events.progress_lines(progress.parse_lines(relation(s, d, "m_line"))), events.validation_lines(check), events.result_lines(done), events.batch_lines(summarised(s, d, done)),
+        events.candidate_lines(crop.candidates(samples)),
     ]
     return events.union(parts)
 
 
+def log_written(s: SparkSession, d: str) -> DataFrame:
+    """The lines as a log file has them, without those for debugging; a line's second is its number in its event."""
+    start = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
+    return events.written(events.at_level(log_lines(s, d), verbose=False), start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("line_no").cast("decimal(18,6)")))
+
+
 def jobs(s: SparkSession, d: str) -> DataFrame:
     known = relation(s, d, "m_line").where("job_id % 7 <> 0")
     return known.groupBy("job_id").agg(F.max("duration_secs").alias("duration_secs")).withColumn("total_frames", F.col("job_id") * 10)
@@ -106,5 +113,9 @@ QUERIES = {
         lambda s, d: events.forwarded(event_log(s, d)),
         _events_sql(f"{LOG_SQL} SELECT * FROM log WHERE type IN ('encoding_progress', 'validation_complete', 'encoding_complete', 'warning', 'error', 'batch_complete')"),
     ),
+    "log_written": (
+        log_written,
+        _events_sql(f"{PARSE_SQL},{LINES_SQL} SELECT '2025-01-01' AS day, '2025-01-01 00:00:' || printf('%02d', line_no) || ' [' || level || '] ' || message AS value FROM lines WHERE level <> 'DEBUG'"),
+    ),
     "log_lines": (log_lines, _events_sql(f"{PARSE_SQL},{LINES_SQL} SELECT * FROM lines")),
 }

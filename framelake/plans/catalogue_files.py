@@ -45,14 +45,14 @@ WHERE probe_hdr IS DISTINCT FROM track_hdr"""),
     ),
     "hdr_matrix": (
         lambda s, d: hdr.matrix(
-            hdr.by_probe(relation(s, d, "m_probe").where("file_id % 3 <> 0")).withColumnRenamed("is_hdr", "expected_hdr"),
+            hdr.by_probe(relation(s, d, "m_probe")).select("file_id", F.when(F.col("file_id") % 3 != 0, F.col("is_hdr")).alias("expected_hdr")),
             relation(s, d, "m_output").select("file_id", F.when(F.col("file_id") % 4 != 0, X.hdr_from_track(F.lit(""), F.col("transfer_characteristics"), F.lit(""))).alias("actual_hdr")),
         ),
         sql("m_probe m_output", f"""SELECT file_id, coalesce((e IS NULL AND a IS NOT NULL) OR e = a, false) AS is_valid,
   CASE WHEN e IS NOT NULL AND a IS NOT NULL THEN CASE WHEN e = a THEN CASE WHEN a THEN 'HDR' ELSE 'SDR' END || ' preserved' ELSE 'Expected ' || CASE WHEN e THEN 'HDR' ELSE 'SDR' END || ', found ' || CASE WHEN a THEN 'HDR' ELSE 'SDR' END END
     WHEN a IS NOT NULL THEN 'Output is ' || CASE WHEN a THEN 'HDR' ELSE 'SDR' END WHEN e IS NOT NULL THEN 'Expected ' || CASE WHEN e THEN 'HDR' ELSE 'SDR' END || ', but could not detect HDR status'
     ELSE 'Could not detect HDR status' END AS message
-FROM (SELECT file_id, {PROBE_HDR} AS e FROM m_probe WHERE file_id % 3 <> 0)
+FROM (SELECT file_id, CASE WHEN file_id % 3 <> 0 THEN {PROBE_HDR} END AS e FROM m_probe)
 FULL JOIN (SELECT file_id, CASE WHEN file_id % 4 <> 0 THEN regexp_matches(lower(transfer_characteristics), 'pq|hlg|smpte 2084') END AS a FROM m_output) USING (file_id)"""),
     ),
     "resolution_band": (
@@ -68,6 +68,14 @@ JOIN (VALUES ('SD', 0, 1920, 24), ('HD', 1920, 3840, 26), ('UHD', 3840, 21474836
         lambda s, d: relation(s, d, "m_request").select(F.lower(F.coalesce("preset_name", F.lit("grain"))).alias("preset")).distinct().join(F.broadcast(config.presets(s)), "preset"),
         sql("m_request", f",{PRESET_SQL} SELECT preset, crf_sd, crf_hd, crf_uhd, encoder_default AS encoder_preset, tune, ac_bias, variance_boost, boost_strength, boost_octile FROM presets WHERE preset IN (SELECT lower(coalesce(preset_name, 'grain')) FROM m_request)"),
     ),
+    "preset_names": (
+        lambda s, d: relation(s, d, "m_request").select("request_id", X.preset_label(F.lower("preset_name")).alias("label")),
+        sql("m_request", "SELECT request_id, CASE WHEN lower(preset_name) IN ('grain', 'clean', 'quick') THEN upper(preset_name[1]) || lower(preset_name[2:]) ELSE 'Default' END AS label FROM m_request"),
+    ),
+    "file_sizes": (
+        lambda s, d: relation(s, d, "m_file").select("file_id", X.bytes_text(F.col("length") * F.col("file_id")).alias("size")),
+        sql("m_file", "SELECT file_id, CASE WHEN n >= 1073741824 THEN printf('%.2f GiB', n / 1073741824e0) WHEN n >= 1048576 THEN printf('%.2f MiB', n / 1048576e0) WHEN n >= 1024 THEN printf('%.2f KiB', n / 1024e0) ELSE n || ' B' END AS size FROM (SELECT file_id, length * file_id AS n FROM m_file)"),
+    ),
     "crf_parse": (lambda s, d: config.parse_requests(relation(s, d, "m_request")), sql("m_request", f",{CRF_SQL} SELECT * FROM crf")),
     "config_effective": (lambda s, d: config.resolved(relation(s, d, "m_request")), sql("m_request", f",{PRESET_SQL},{CRF_SQL},{EFFECTIVE_SQL} SELECT * EXCLUDE (error) FROM effective WHERE error IS NULL")),
     "config_check": (lambda s, d: config.audit(relation(s, d, "m_request")), sql("m_request", f",{PRESET_SQL},{CRF_SQL},{EFFECTIVE_SQL} SELECT request_id, coalesce(error, 'ok') AS error_code FROM effective")),

@@ -74,6 +74,15 @@ SELECT c_custkey AS request_id,
   CASE c_custkey % 6 WHEN 0 THEN 8 ELSE NULL END AS film_grain,
   CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS film_grain_denoise
 FROM customer""",
+    "m_asked": """
+SELECT o_orderkey AS file_id, o_custkey AS request_id FROM orders""",
+    "m_tuning": """
+SELECT c_custkey AS request_id,
+  CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS variance_boost,
+  CASE c_custkey % 5 WHEN 0 THEN CAST(1 + c_custkey % 3 AS INT) ELSE NULL END AS boost_strength,
+  CASE c_custkey % 5 WHEN 0 THEN CAST(4 + c_custkey % 4 AS INT) ELSE NULL END AS boost_octile,
+  CASE c_custkey % 7 WHEN 0 THEN 'hqdn3d=1:1:2:2' WHEN 1 THEN '' ELSE NULL END AS denoise_filter
+FROM customer WHERE c_custkey % 3 <> 0""",
     "m_line": """
 SELECT event_id, user_id AS job_id, ts, 300e0 AS duration_secs,
   CASE WHEN event_id % 10 = 0 THEN 'Press [q] to stop'
@@ -91,7 +100,7 @@ FROM m_crop""",
 #: The relations and base tables that each one reads.
 NEEDS = {
     "m_probe": ["orders"], "m_track": ["m_probe"], "m_audio": ["lineitem", "orders"], "m_out_audio": ["m_audio"], "m_crop": ["lineitem", "m_probe"],
-    "m_output": ["m_probe"], "m_progress": ["events"], "m_file": ["part"], "m_request": ["customer"], "m_line": ["events"], "m_crop_line": ["m_crop"],
+    "m_output": ["m_probe"], "m_progress": ["events"], "m_file": ["part"], "m_request": ["customer"], "m_asked": ["orders"], "m_tuning": ["customer"], "m_line": ["events"], "m_crop_line": ["m_crop"],
 }
 
 

@@ -19,6 +19,10 @@ from framelake.operators import progress as P
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: A job that is silent for so long has ended.
+IDLE_SECS = 6 * 3600.0
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """The state store that transformWithState needs."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -42,8 +46,11 @@ def enriched(lines: DataFrame, jobs: DataFrame) -> DataFrame:
 class _Gate(StatefulProcessor):
     """Per job: the number of its run, the last five per cent let through, and the most shown."""
 
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "run_no bigint, bucket int, shown double")
+        self.state = handle.getValueState("run", "run_no bigint, bucket int, shown double", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         df = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
@@ -64,16 +71,17 @@ class _Gate(StatefulProcessor):
         pass
 
 
-def tracked(progress: DataFrame, watermark: str | None = None) -> DataFrame:
+def tracked(progress: DataFrame, idle_secs: float | None = IDLE_SECS) -> DataFrame:
     """Every snapshot with its run, bucket, whether the gate lets it through, and the percentage to show.
 
-    State is three numbers for each job.
+    State is three numbers for each job, dropped when the job has been silent for idle_secs (None: never): what it says
+    later counts as a new job's.
     """
     df = progress.withColumns({"ts": F.col("ts").cast("timestamp"), "percent": X.percent_done(F.col("elapsed_secs"), F.col("duration_secs"))})
-    if watermark:
-        df = df.withWatermark("ts", watermark)
     df = df.select("job_id", "event_id", "ts", "kind", "percent")
-    return df.groupBy("job_id").transformWithStateInPandas(_Gate(), "event_id bigint, job_id bigint, run_no bigint, bucket int, emitted boolean, shown_percent double", "Append", "None")
+    return df.groupBy("job_id").transformWithStateInPandas(
+        _Gate(round(idle_secs * 1000) if idle_secs else None), "event_id bigint, job_id bigint, run_no bigint, bucket int, emitted boolean, shown_percent double", "Append", "ProcessingTime" if idle_secs else "None"
+    )
 
 
 def gate(progress: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Edge values of the catalogue's rules."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions import exprs as X
-from framelake.operators import audio, config, crop, encoding, hdr, listing, results, validation
-from framelake.sources import documents, files
+from framelake.operators import audio, config, crop, encoding, hdr, listing, numbering, results, validation
+from framelake.sources import documents, files, tables
 
 
 def value(spark, column):
@@ -166,3 +167,35 @@ def test_documents_fail_as_a_whole(spark):
 
 def test_names(spark):
     assert [value(spark, listing.output_path(F.lit(p))) for p in ("/a/b.c.mkv", "/a/b", "/a.x/b")] == ["/out/b.c.mkv", "/out/b.mkv", "/out/b.mkv"]
+
+
+def test_bad_crf_leaves_the_presets_value_if_defaults_are_kept(spark):
+    requests = spark.createDataFrame([(1, "Quick", "64", None, None, None), (2, "clean", "20,21,22", 3, None, None), (3, "none", "9", None, None, None)], "request_id int, preset_name string, crf_spec string, encoder_preset int, film_grain int, film_grain_denoise boolean")
+    of = lambda keep: {r["request_id"]: (r["crf_sd"], r["crf_hd"], r["crf_uhd"], r["error"]) for r in config.effective(requests, keep).collect()}
+    assert of(True)[1] == (32, 35, 36, None) and of(False)[1][3] == "bad_crf_spec"
+    assert of(True)[2] == of(False)[2] == (20, 21, 22, None) and of(True)[3][3] == "unknown_preset"
+
+
+def test_documents_are_read_whole_by_path(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"format": {"duration": "1.5"},\n "streams": [{"codec_type": "video", "width": 1920}]}')
+    (tmp_path / "b.json").write_text('{"format": [')
+    found = documents.probe_documents(documents.read_documents(spark, str(tmp_path)))
+    rows = {os.path.basename(r["file_id"]): (r["failed"], r["d"] and r["d"]["format"] and r["d"]["format"]["duration"]) for r in found.collect()}
+    assert rows["a.json"] == (False, "1.5") and rows["b.json"][0]
+
+
+def test_tables_are_replaced_by_partition(spark, tmp_path):
+    steps = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "file_id int, step_no int, details string")
+    path = tables.write_table(steps, str(tmp_path), "validation_steps")
+    tables.write_table(spark.createDataFrame([(2, 2, "c")], steps.schema), str(tmp_path), "validation_steps")
+    assert sorted((r["file_id"], r["step_no"], r["details"]) for r in spark.read.parquet(path).collect()) == [(1, 1, "a"), (2, 2, "c")]
+    tables.write_table(steps, str(tmp_path), "batch_summary")
+    assert spark.read.parquet(str(tmp_path / "batch_summary")).count() == 2
+
+
+def test_numbers_go_on_between_ranges(spark):
+    rows = spark.range(3000).selectExpr("case when id % 3 < 2 then 'hot' else concat('g', id % 9) end as g", "(id * 7919) % 3000 as x")
+    got = numbering.numbered(rows.repartition(5), "g", ["x"]).collect()
+    for g in {r["g"] for r in got}:
+        mine = sorted((r["x"], r["position"], r["in_group"]) for r in got if r["g"] == g)
+        assert [p for _, p, _ in mine] == list(range(1, len(mine) + 1)) and {n for *_, n in mine} == {len(mine)}

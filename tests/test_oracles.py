@@ -34,5 +34,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_plans_stay_in_the_jvm(spark):
     for name, query in registry.queries().items():
-        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        done = query(spark, SF)._jdf.queryExecution()
+        plan = done.executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan, name
+        assert "Python" not in done.toRdd().toDebugString() and "ExistingRDD" not in plan, name

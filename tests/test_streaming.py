@@ -41,6 +41,14 @@ def test_gate_and_maximum(spark, tmp_path):
     same(run(S.monotone(stream)), progress.monotone(batch))
 
 
+def test_state_of_silent_jobs_is_dropped(spark, tmp_path):
+    rows = [(n, 1, f"2024-01-01 00:00:{n:02d}", "encoding_started" if n == 0 else "encoding_progress", 30.0 * n, 300.0) for n in range(4)]
+    batch = spark.createDataFrame(rows, "event_id bigint, job_id bigint, ts string, kind string, elapsed_secs double, duration_secs double").selectExpr("event_id", "job_id", "cast(ts as timestamp_ntz) as ts", "kind", "elapsed_secs", "duration_secs")
+    runs = lambda idle: {r["event_id"]: r["run_no"] for r in run(S.tracked(as_stream(spark, batch, str(tmp_path / f"in{idle}"), ["event_id"], parts=4), idle)).collect()}
+    assert runs(None) == runs(3600.0) == {1: 1, 2: 1, 3: 1}
+    assert runs(0.001) == {1: 0, 2: 0, 3: 0}
+
+
 def test_parsed_lines(spark, tmp_path):
     batch = relation(spark, SF, "m_line")
     batch.select("line").coalesce(1).write.text(str(tmp_path / "lines"))
