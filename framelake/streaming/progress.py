@@ -75,7 +75,7 @@ def tracked(progress: DataFrame, idle_secs: float | None = IDLE_SECS) -> DataFra
     """Every snapshot with its run, bucket, whether the gate lets it through, and the percentage to show.
 
     State is three numbers for each job, dropped when the job has been silent for idle_secs (None: never): what it says
-    later counts as a new job's.
+    later counts as a new job's. With a timeout Spark also runs batches without data, so give the query a trigger interval.
     """
     df = progress.withColumns({"ts": F.col("ts").cast("timestamp"), "percent": X.percent_done(F.col("elapsed_secs"), F.col("duration_secs"))})
     df = df.select("job_id", "event_id", "ts", "kind", "percent")

@@ -1,5 +1,6 @@
 """Streams give what the batch operators give on the same rows."""
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,11 +12,18 @@ from framelake.streaming import progress as S
 SF = "/root/testdata/sf0.001"
 
 
-def run(df, mode="append", sink=None):
+def run(df, mode="append", sink=None, rows=None):
+    """rows: of a stream with a timeout, which never runs out of batches, how many to wait for."""
     name = f"s{uuid.uuid4().hex}"
     w = df.writeStream.outputMode(mode)
+    w = w.trigger(processingTime="500 milliseconds") if rows else w
     q = (w.foreachBatch(sink) if sink else w.format("memory").queryName(name)).start()
-    q.processAllAvailable()
+    if rows:
+        until = time.time() + 90
+        while sum(p["numInputRows"] for p in q.recentProgress) < rows and time.time() < until:
+            time.sleep(0.2)
+    else:
+        q.processAllAvailable()
     q.stop()
     return None if sink else df.sparkSession.table(name)
 
@@ -37,14 +45,14 @@ def same(a, b):
 def test_gate_and_maximum(spark, tmp_path):
     batch = relation(spark, SF, "m_progress")
     stream = as_stream(spark, batch, str(tmp_path / "in"), ["ts", "event_id"])
-    same(run(S.gate(stream)), progress.gate(batch))
-    same(run(S.monotone(stream)), progress.monotone(batch))
+    same(run(S.gate(stream), rows=batch.count()), progress.gate(batch))
+    same(run(S.monotone(stream), rows=batch.count()), progress.monotone(batch))
 
 
 def test_state_of_silent_jobs_is_dropped(spark, tmp_path):
     rows = [(n, 1, f"2024-01-01 00:00:{n:02d}", "encoding_started" if n == 0 else "encoding_progress", 30.0 * n, 300.0) for n in range(4)]
     batch = spark.createDataFrame(rows, "event_id bigint, job_id bigint, ts string, kind string, elapsed_secs double, duration_secs double").selectExpr("event_id", "job_id", "cast(ts as timestamp_ntz) as ts", "kind", "elapsed_secs", "duration_secs")
-    runs = lambda idle: {r["event_id"]: r["run_no"] for r in run(S.tracked(as_stream(spark, batch, str(tmp_path / f"in{idle}"), ["event_id"], parts=4), idle)).collect()}
+    runs = lambda idle: {r["event_id"]: r["run_no"] for r in run(S.tracked(as_stream(spark, batch, str(tmp_path / f"in{idle}"), ["event_id"], parts=4), idle), rows=idle and 4).collect()}
     assert runs(None) == runs(3600.0) == {1: 1, 2: 1, 3: 1}
     assert runs(0.001) == {1: 0, 2: 0, 3: 0}
 
