@@ -27,7 +27,7 @@ PREFIXES = (4, 5, 6, 7)
 LEAST_CONTEXTS, LEAST_SHARE = 3, 0.01
 #: Least log odds of a feature.
 LEAST_ODDS = 2.0
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 
 # Letters of the language model, by number from 1; 0 is a border, 61 any other letter, 62 a digit.
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâáãåæçéèêëíìîïñóòôõøœúùûÿý"
@@ -74,7 +74,7 @@ def gather_trigrams(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SIZE**3, np.int64)
         for b in batches:
-            for _, part in _portions(b, 0, 1 << 20):
+            for _, part in _portions(b, 0, 1 << 17):
                 count_trigrams(part, counts)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["gram", "n"])
