@@ -12,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of rows that go to a Python worker at once, where the session leaves it open. Rows of long texts would else stand in
+#: one batch of 10,000, several times over: in the executor, and in each of its workers.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application, wherever the driver was started."""
+    """Send this package to the executors once for each application, wherever the driver was started, and have long texts
+    reach their Python workers in small batches."""
     app = spark.sparkContext.applicationId
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     if app in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
