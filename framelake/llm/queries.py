@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html_extraction, mixing, nearest, sharding, simhash, token_counts, toxicity, url_filters
+from . import (
+    chat,
+    context_hashing,
+    decontamination,
+    filter_audit,
+    html_extraction,
+    mixing,
+    nearest,
+    sharding,
+    simhash,
+    spelling,
+    token_counts,
+    toxicity,
+    url_filters,
+)
 from .scratch import ship, table
 
 
@@ -71,6 +85,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_hashing.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -85,4 +111,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.SHARDING_SQL, "op3_url_filters": url_filters.URL_SQL, "op8_mixing": mixing.MIXING_SQL, "op9_chat_formatting": chat.CHAT_SQL}
+    return {
+        "op2_sharding": sharding.SHARDING_SQL,
+        "op3_url_filters": url_filters.URL_SQL,
+        "op8_mixing": mixing.MIXING_SQL,
+        "op9_chat_formatting": chat.CHAT_SQL,
+        "op11_filter_audit": filter_audit.AUDIT_SQL,
+        "op12_spelling_variants": spelling.SPELLING_SQL,
+    }
