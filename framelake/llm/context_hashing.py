@@ -52,6 +52,8 @@ def _scan(data: np.ndarray, level: int, most: int) -> tuple[np.ndarray, np.ndarr
         while len(at) > most:
             level += 1
             at, value = _raised(at, value, level)
+        if level > TOP_LEVEL:
+            break
     return at, value, level
 
 
