@@ -7,7 +7,6 @@ training windows are joined, and round each hit the benchmark item is laid along
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize
+from .words import strip_marks
 
 #: A leak is a stretch of this many words of an item (or the whole item, if shorter), of which this share stands in the text.
 WINDOW, SIMILARITY = 13, 0.8
@@ -24,14 +24,15 @@ MASKS = ("11101011", "110100111")
 #: Words of the benchmark that go to the executors at once; a larger benchmark is taken in several passes.
 BLOCK_WORDS = 500_000
 KEPT_WORDS = 500_000
+#: Rows of a repeated item that are laid out from one row.
+COPIES = 4096
 #: Hits of a text beyond which they are no longer listed one by one; words that are compared at once.
 MOST_HITS, COMPARED = 1 << 19, 1 << 21
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _GAP = 16
 
 
 def normal_word(raw: str) -> str:
-    return raw.lower() if raw.isalnum() else _EDGES.sub("", raw.lower())
+    return raw.lower() if raw.isalnum() else strip_marks(raw.lower())
 
 
 class _Ids(dict):
@@ -207,14 +208,16 @@ def _groups(rows: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(edges, edges[1:])
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[pa.Array, list[str]]]:
-    """The benchmark's items, ids and texts, in blocks of about BLOCK_WORDS words."""
-    sized = benchmark.select("item_id", "text").where("text is not null")
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[pa.Array, list[str], pa.Array]]:
+    """The benchmark's items, equal rows once: ids, texts and numbers of rows, in blocks of about BLOCK_WORDS words."""
+    sized = benchmark.where("text is not null").groupBy("item_id", "text").agg(F.count("*").alias("copies"))
+    sized = materialize(sized, "benchmark-items")
     n = sized.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     blocks = max(1, -(-int(n) // BLOCK_WORDS))
     for k in range(blocks):
         t = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().combine_chunks()
-        yield (t.column(0).chunk(0) if t.num_rows else pa.array([], t.schema.field(0).type)), t.column(1).to_pylist()
+        ids, copies = (t.column(c).chunk(0) if t.num_rows else pa.array([], t.schema.field(c).type) for c in (0, 2))
+        yield ids, t.column(1).to_pylist(), copies
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -222,37 +225,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of equal words), matched_words, item_words, start (the item's first word in the text, from 0).
 
     An item of fewer than 13 words leaks only word for word; items and texts without words never do. Null texts have no
-    words. Ids may be of any type and null. Repeated rows give a row each. Only the benchmark goes to the executors; a
+    words. Ids may be of any type and null. Repeated rows give a row each; a repeated item is looked for once, and its hits
+    are laid out by its number of rows. Only the benchmark goes to the executors; a
     larger one in blocks of bounded size, for each of which the documents are read once. Documents are not shuffled.
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, overlap double, matched_words int, item_words int, start long"
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, overlap double, matched_words int, item_words int, start long, copies long"
     out = None
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, schema=schema) -> Iterator[pa.RecordBatch]:
-            (names, texts), columns = shared.value, [c.split()[0] for c in schema.split(", ")]
+            (names, texts, copies), columns = shared.value, [c.split()[0] for c in schema.split(", ")]
             index = SeedIndex(texts)
             for b in batches:
                 for at, part in _portions(b, 1):
                     got = list(index.leaks(part))
                     if got:
                         rows, items, *cols = zip(*got)
-                        ids = b.column(0).take(pa.array([at + r for r in rows])), names.take(pa.array(items))
-                        yield pa.RecordBatch.from_arrays([*ids, *[pa.array(c, k) for c, k in zip(cols, (pa.float64(), pa.int32(), pa.int32(), pa.int64()))]], columns)
+                        ids, times = (b.column(0).take(pa.array([at + r for r in rows])), names.take(pa.array(items))), copies.take(pa.array(items))
+                        yield pa.RecordBatch.from_arrays([*ids, *[pa.array(c, k) for c, k in zip(cols, (pa.float64(), pa.int32(), pa.int32(), pa.int64()))], times], columns)
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = part if out is None else out.union(part)
-    return out
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))
+    out = out.withColumn("block", block).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES), F.col("copies") - F.col("block") * COPIES))))
+    return out.drop("copies", "block", "copy")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, into which no benchmark item leaks. Rows left by one block of a large benchmark are
     written to the shared folder before the next one, so that a task never holds more than one block's index."""
     spark, column, first = docs.sparkSession, docs.columns.index("text"), True
-    for _, texts in _blocks(benchmark):
+    for _, texts, _ in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(texts)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN_TAGS = frozenset("script style noscript template svg math head title iframe object".split())
+HIDDEN_TAGS = frozenset("script style noscript template svg annotation annotation-xml head title iframe object".split())
 RAW_TAGS = frozenset("script style textarea title".split())
 HEAD_TAGS = frozenset("html head base link meta noscript script style template title".split())
 #: An opening tag on the left ends an open element on the right.
@@ -23,7 +23,8 @@ SCOPE = frozenset("article aside body div footer form header main nav section ta
 
 _OPEN = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+>")
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'][^\s=/]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|\S*))?")
+_MARKING = frozenset("class id role itemprop".split())
 _WORDS = re.compile(r"[a-z]+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -44,10 +45,10 @@ class Block:
 def _attributes(tag: str, raw: str) -> tuple[tuple[str, ...], bool]:
     marks, hidden = [], tag in HIDDEN_TAGS
     for m in _ATTRIBUTE.finditer(raw):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        name, value = m[1].lower(), (m[2] or "").strip("\"'").strip().lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _INVISIBLE.search(value)):
             hidden = True
-        elif name not in ("style", "aria-hidden"):
+        elif name in _MARKING:
             marks += _WORDS.findall(value)
     return tuple(marks), hidden
 
@@ -111,7 +112,11 @@ class _Open:
 
 
 def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
-    """The page's blocks in order, white space folded, without hidden ones. Of marks only `known` ones are kept, if given.
+    """The page's blocks in order, white space folded. Of marks only `known` ones are kept, if given.
+
+    What stands in a hidden element is left out wherever it stands, and the text round it stays: elements of HIDDEN_TAGS, and
+    those with an attribute named hidden, aria-hidden="true", or a style that hides. Formulas are text, their annotations
+    aren't.
 
     Malformed nesting is mended roughly as browsers do. Where a tag's quotes leave it without an end, quotes mean nothing
     from there on; where no > follows, the rest is text. Every character is looked at a bounded number of times.
@@ -126,7 +131,7 @@ def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]
         nonlocal linked
         if text:
             folded = " ".join("".join(text).split())
-            if folded and not above.hidden:
+            if folded:
                 own, parent = (["none", "none"] + above.outer[-2:])[:-3:-1]
                 out.append(Block(folded, own, parent, above.tags.all(), above.marks.all(), min(linked, len(folded))))
             text.clear()
@@ -137,6 +142,8 @@ def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]
         if raw:
             if above.stack and above.stack[-1][0] == "head" and not raw.isspace():
                 close({"head"})
+            if above.hidden:
+                return
             piece = html.unescape(raw)
             text.append(piece)
             if above.places.get("a"):

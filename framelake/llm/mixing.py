@@ -103,7 +103,7 @@ def _dealt(rows: DataFrame, plan: DataFrame, keep: list[str]) -> DataFrame:
     plan = materialize(plan, "mixing-cuts")
     record = F.struct("order_hash", "doc_id", "size")
     df = _with_plan(rows, plan)
-    first = (F.col("order_hash") < F.col("cut_start")) | (record <= F.col("last"))
+    first = (F.col("size") > 0) & ((F.col("order_hash") < F.col("cut_start")) | (record <= F.col("last")))
     more = F.when(F.coalesce(first, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
     if not plan.where("split IS NOT NULL").take(1):
         return df.select(*keep, (F.col("whole") + more).alias("copies"))
@@ -131,7 +131,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1
 
 def mix_rows(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """The mix itself: every row of docs, all columns, as often as `mix` takes it; of rows that differ in other columns alone,
-    these decide which get one more. Up to BROADCAST_SOURCES sources, texts aren't shuffled."""
+    these decide which get one more. Rows without words count for nothing in a target: they follow their source's whole
+    repetitions, none more, so a source without any words has none of its rows in the mix. No row is repeated more than
+    max_epochs times. Up to BROADCAST_SOURCES sources, texts aren't shuffled."""
     others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
     packed = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text", F.xxhash64(F.lit(0), *others).alias("other"))
     packed = _ordered(packed, seed, "other").select("row", "doc_id", "source", "size", "order_hash", "range")

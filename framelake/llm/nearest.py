@@ -46,12 +46,19 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def sized(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: exact, and squares neither over- nor underflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
 def scaled(x: np.ndarray) -> np.ndarray:
+    x = sized(x)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of the rows of a and b, pair by pair: the same for the same pair wherever it stands."""
+    a, b = sized(a), sized(b)
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
@@ -163,8 +170,8 @@ def _search(rows: DataFrame, k: int, every: int) -> DataFrame:
     placed = materialize(entries.mapInArrow(place, f"code long, vec_id {kind}, embedding {vector}, copies int, cell int"), "nearest-cells")
     # At most MOST_CENTROIDS^2 numbers.
     counts = np.zeros(len(index.left) * len(index.right), np.int64)
-    for r in placed.groupBy("cell").count().collect():
-        counts[r["cell"]] = r["count"]
+    found = placed.groupBy("cell").count().toArrow()
+    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
     enough = int(max(LEAST_ENTRIES, index.share_for(x, k) * total)) + k + 1
     n_right = len(index.right)
     blocks = np.maximum(1, -(-counts.reshape(-1, n_right).sum(1) // BLOCK)).tolist()

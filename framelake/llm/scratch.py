@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each application, wherever the driver was started, and have long texts
-    reach their Python workers in small batches."""
+    reach their Python workers in small batches: BATCH_SETTING is set in the caller's session for good, where it is unset."""
     app = spark.sparkContext.applicationId
     if BATCH_SETTING not in spark.conf.getAll:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
@@ -51,10 +51,21 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def app_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one. It is deleted when the driver ends; if that is killed, the cluster's
+    retention clears it."""
+    path = f"{shared_dir(spark)}/framelake-{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, so lost executors cost no rerun."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/framelake-{uuid.uuid4().hex}/{name}"
+    path = f"{app_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -76,16 +76,24 @@ def signature(word: str, ranks: dict[str, int]) -> tuple[int, list[int], list[in
     return bound, [i for i, _ in prefix], choose_pivots(prefix)
 
 
+def letters_of(word: str) -> int:
+    """A bit for each letter of the word, letters that share one apart by 63. One edit changes two bits at most."""
+    out = 0
+    for c in set(word):
+        out |= 1 << ord(c) % 63
+    return out
+
+
 def signatures(words: DataFrame) -> DataFrame:
-    """(word, n, bound, prefix, pivots), see `signature`."""
+    """(word, n, bound, prefix, pivots, letters), see `signature` and `letters_of`."""
     ranks = gram_ranks(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [signature(w, ranks) for w in b["word"]]
-            yield b.assign(bound=[f[0] for f in found], prefix=[f[1] for f in found], pivots=[f[2] for f in found])
+            yield b.assign(bound=[f[0] for f in found], prefix=[f[1] for f in found], pivots=[f[2] for f in found], letters=list(map(letters_of, b["word"])))
 
-    return words.mapInPandas(run, "word string, n long, bound int, prefix array<int>, pivots array<int>")
+    return words.mapInPandas(run, "word string, n long, bound int, prefix array<int>, pivots array<int>, letters long")
 
 
 #: What one edit does to a bigram that it leaves whole: (change of length, change of place, which side of the bigram stays).
@@ -103,17 +111,19 @@ def near_words(words: DataFrame) -> DataFrame:
 
     One edit leaves one of a word's two pivots whole, with all text on one side of it. If the bound of its prefix is not
     above the other word's, that bigram stands in the other word's prefix: so pivots meet prefixes by bigram, place, length
-    and the untouched side, each as one edit may shift them. Edits are then checked on the words.
+    and the untouched side, each as one edit may shift them. Pairs whose sets of letters differ too much are left out, and
+    edits are then checked on the words.
     """
     rows = materialize(signatures(words), "spelling-signatures")
     side = F.explode(F.array(F.lit("left"), F.lit("right"))).alias("side")
     shift = F.explode(F.array(*[F.struct(F.lit(dl).alias("length"), F.lit(dp).alias("place"), F.lit(s).alias("side")) for dl, dp, s in SHIFTS])).alias("shift")
-    indexed = rows.select("word", "n", "bound", F.explode("prefix").alias("at")).select("*", side)
-    indexed = indexed.select(_key(F.col("word"), F.col("at"), F.length("word"), F.col("at"), F.col("side")).alias("key"), F.col("word").alias("v"), F.col("n").alias("v_n"), F.col("bound").alias("v_bound"))
-    asked = rows.select("word", "n", "bound", F.explode("pivots").alias("at")).select("*", shift)
+    indexed = rows.select("word", "n", "bound", "letters", F.explode("prefix").alias("at")).select("*", side)
+    indexed = indexed.select(_key(F.col("word"), F.col("at"), F.length("word"), F.col("at"), F.col("side")).alias("key"), F.col("word").alias("v"), F.col("n").alias("v_n"), F.col("bound").alias("v_bound"), F.col("letters").alias("v_letters"))
+    asked = rows.select("word", "n", "bound", "letters", F.explode("pivots").alias("at")).select("*", shift)
     key = _key(F.col("word"), F.col("at"), F.length("word") + F.col("shift.length"), F.col("at") + F.col("shift.place"), F.col("shift.side"))
-    asked = asked.select(key.alias("key"), "word", "n", "bound")
-    near = (F.col("bound") <= F.col("v_bound")) & (F.col("word") != F.col("v")) & (F.levenshtein("word", "v", 1) == 1)
+    asked = asked.select(key.alias("key"), "word", "n", "bound", "letters")
+    may = (F.col("bound") <= F.col("v_bound")) & (F.bit_count(F.col("letters").bitwiseXOR(F.col("v_letters"))) <= 2) & (F.col("word") != F.col("v"))
+    near = may & (F.levenshtein("word", "v", 1) == 1)
     pairs = asked.join(indexed, "key").where(near)
     first = F.col("word") < F.col("v")
     pick = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import _portions
 from .scratch import materialize
+from .words import strip_right
 
 #: Labelled rows the classifier is fitted on, at most: those with the smallest hashes of doc_id.
 TRAIN_ROWS = 20_000
@@ -28,6 +31,8 @@ LEAST_CONTEXTS, LEAST_SHARE = 3, 0.01
 #: Least log odds of a feature.
 LEAST_ODDS = 2.0
 KEPT_WORDS = 100_000
+#: Pairs of feature and context that a task holds before it hands them on.
+HELD_PAIRS = 50_000
 
 # Letters of the language model, by number from 1; 0 is a border, 61 any other letter, 62 a digit.
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâáãåæçéèêëíìîïñóòôõøœúùûÿý"
@@ -37,7 +42,6 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 
 _SYMBOLS = "@$!+|€"
 _STRIP_LEFT = re.compile(rf"^[^\w{re.escape(_SYMBOLS)}]+|^_+")
-_STRIP_RIGHT = re.compile(r"[\W_]+$")
 _LEET_INSIDE = re.compile(rf"[0-9{re.escape(_SYMBOLS)}]")
 _LETTER = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"([^\W\d_])\1\1+")
@@ -98,11 +102,12 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 #: What it costs to take a character for another one, to take a separator for a border, to change repetitions.
 SWAP_COST, BORDER_COST, REPEAT_COST = 2.0, 2.0, 1.0
+#: Steps of the decoding after which what is settled is laid aside.
+SETTLE = 64
 
 
-def lattice(span: str) -> list[list[tuple[str, float]]]:
+def lattice(span: str) -> Iterator[list[tuple[str, float]]]:
     """For each character, or run of one, what may stand behind it and at what cost."""
-    out = []
     for m in re.finditer(r"(.)\1*", span, re.S):
         c, n = m[1], len(m[0])
         if _LETTER.match(c):
@@ -112,14 +117,21 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
             ways = [(keep, 0.0)] + [(x, SWAP_COST) for x in LEET[c]] + ([(x * 2, SWAP_COST) for x in LEET[c]] if n == 2 else [])
         else:
             ways = [(" ", BORDER_COST), ("", 0.0)] if not c.isdigit() else [(c, 0.0)]
-        out.append(ways)
-    return out
+        yield ways
 
 
 def restore(span: str, model: np.ndarray) -> str:
-    """The likeliest string behind span: Viterbi over pairs of letters. Ties go to the string that comes first."""
+    """The likeliest string behind span: Viterbi over pairs of letters. Ties go to the string that comes first.
+
+    What all states begin with is settled and laid aside now and then, so their strings stay short in long spans.
+    """
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for ways in [*lattice(span), [(" ", 0.0)]]:
+    settled: list[str] = []
+    for step, ways in enumerate(chain(lattice(span), [[(" ", 0.0)]])):
+        if step % SETTLE == SETTLE - 1:
+            known = commonprefix([text for _, text in states.values()])
+            settled.append(known)
+            states = {at: (cost, text[len(known) :]) for at, (cost, text) in states.items()}
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, text) in states.items():
             for put, extra in ways:
@@ -134,7 +146,7 @@ def restore(span: str, model: np.ndarray) -> str:
                 if (x, y) not in new or best < new[x, y]:
                     new[x, y] = best
         states = new
-    return " ".join(min(states.values())[1].split())
+    return " ".join(("".join(settled) + min(states.values())[1]).split())
 
 
 def disguised(core: str) -> bool:
@@ -153,7 +165,7 @@ class Restorer:
     def of_token(self, raw: str) -> tuple[str, ...]:
         got = self.kept.get(raw)
         if got is None:
-            left = _STRIP_RIGHT.sub("", _STRIP_LEFT.sub("", raw))
+            left = strip_right(_STRIP_LEFT.sub("", raw))
             core = left.lstrip(_SYMBOLS)
             forms = [core] if core else []
             if disguised(left):
@@ -272,14 +284,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, seen = Restorer(shared.value), set()
+
+        def laid_out() -> pa.RecordBatch:
+            f, c = zip(*seen) if seen else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(c, pa.int32())], ["feature", "context"])
+
         for b in batches:
             for t in b.column(0):
                 words = restorer.words(t.as_py() or "")
                 for before, w in zip(["", *words], words):
                     seen.update((f, hash_of(before)) for f in features(w))
-        for k in range(0, len(pairs := list(seen)), 50_000):
-            f, c = zip(*pairs[k : k + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(c, pa.int32())], ["feature", "context"])
+                    if len(seen) > HELD_PAIRS:
+                        yield laid_out()
+                        seen.clear()
+        yield laid_out()
 
     # A word that only copies of one document share has one context, however many there are.
     bad = rows.where("toxic = 1").select("text").repartition(8).mapInArrow(contexts, "feature string, context int").distinct()

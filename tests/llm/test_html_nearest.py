@@ -2,6 +2,8 @@ import html
 import random
 import re
 import time
+from decimal import Decimal
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -47,6 +49,34 @@ def test_blocks_of_malformed_markup():
     assert blocks("<p>x<")[0].text == "x<" and blocks("<script>never closed") == [] and blocks("") == [] == blocks(None)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article title="The hidden truth"><p>Hello world</p></article>', ["Hello world"]),
+        ('<main data-hidden="false"><p>Hello world</p></main>', ["Hello world"]),
+        ('<div aria-label="hidden gems">Hello world</div>', ["Hello world"]),
+        ("<p data-style='display:none' xhidden hiddenx>Hello</p>", ["Hello"]),
+        ("<p title='a\"hidden' alt=hidden class = \"x hidden\">Hello</p>", ["Hello"]),
+        ("<p aria-hidden=false>Hello</p><p aria-hidden='true'>no</p><p ARIA-HIDDEN = TRUE>no</p>", ["Hello"]),
+        ("<p hidden>no</p><p HIDDEN=''>no</p><p hidden=until-found>no</p><p/hidden>no</p><p style=display:none>no</p><p STYLE='color: red; Visibility : Hidden'>no</p>", []),
+        ("<p>Main text here <span hidden>x<p>Next", ["Main text here", "Next"]),
+        ('<p>intro <span style="display:none">x<div>more</div>', ["intro", "more"]),
+        ('<p>foo<span style="display:none">SECRET</span>y</p>', ["fooy"]),
+        ("<p>a <noscript>no</noscript>b <svg><text>no</text></svg>c <object>no</object>d <template>no</template>e</p>", ["a b c d e"]),
+        ("<p>Let <math><mi>x</mi><annotation>no</annotation></math> be</p>", ["Let x be"]),
+        ("<div hidden><p>no<div>no</div>no</div>yes<div hidden>no</div><p>yes</p>", ["yes", "yes"]),
+        ("<p>one<br hidden>two</p>", ["one two"]),
+    ],
+)
+def test_what_is_hidden_is_left_out_by_the_piece(page, want):
+    assert [b.text for b in blocks(page)] == want
+
+
+def test_marks_come_from_their_own_attributes():
+    found = blocks('<div data-role="menu" title="class=advert id=nav" class="Story-Body big" id=main role=\'article\' itemprop="text"><p>x')
+    assert found[0].marks == {"story", "body", "big", "main", "article", "text"}
+
+
 def test_head_that_is_not_closed(model):
     body = "".join(p for p, _ in labelled_pages(1, seed=5)[0])
     assert [b.text for b in blocks("<html><head><title>t</title><meta charset=x><link rel=y><body><p>one<p>two")] == ["one", "two"]
@@ -67,6 +97,11 @@ def test_head_that_is_not_closed(model):
         ("</x>" * 100_000 + "<b>" * 100_000 + "</i>" * 100_000 + "end", 1),
         ("<!--" * 200_000 + "x", 0),
         ("&amp;" * 200_000, 1),
+        ("<p " + "a" * 1_000_000 + ">x", 1),
+        ("<p " + "a " * 300_000 + "hidden>x", 0),
+        ("<p " + "a =" * 300_000 + ">x", 1),
+        ("<p a" + " " * 1_000_000 + "b>x", 1),
+        ("<p " + "a='" * 300_000 + ">x", 1),
     ],
 )
 def test_long_odd_pages_take_linear_time(model, page, want):
@@ -177,3 +212,24 @@ def test_crowded_cells_come_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(i, [float(v) for v in np.float32(rng.normal(size=4))]) for i in range(400)]
     assert same(found(N.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))), brute(rows))
+
+
+def test_components_of_extreme_size(spark):
+    """Squares of components over- or underflow; the cosine doesn't."""
+    rows = [(0, [1e-200, 2e-200, 0.0, 0.0]), (1, [1e200, 2e200, 0.0, 0.0]), (2, [2e-300, 1e-300, 0.0, 0.0]), (3, [0.0, 0.0, 1e308, 1e308]), (4, [5e-324, 1e-323, 0.0, 0.0]), (50, [1.5e308, -1e308, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in N.search(table).collect()}
+
+    def cosine(a, b):
+        a, b = ([Fraction(x) for x in v] for v in (a, b))
+        dot = sum(x * y for x, y in zip(a, b))
+        return float((1 if dot >= 0 else -1) * (Decimal((dot * dot).numerator * (sum(x * x for x in a) * sum(x * x for x in b)).denominator) / Decimal((dot * dot).denominator * (sum(x * x for x in a) * sum(x * x for x in b)).numerator)).sqrt())
+
+    by = dict(rows)
+    assert len(got) == 10 and all(s == pytest.approx(cosine(by[q], by[v]), abs=1e-15) for (q, v), s in got.items())
+
+
+def test_scaling_changes_no_ordinary_score():
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, 500, 64))
+    assert (N.cosines(a, b) == (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))).all()

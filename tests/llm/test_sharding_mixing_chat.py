@@ -142,3 +142,17 @@ def test_many_sources_are_joined_with_salt(spark, odd_docs, monkeypatch):
     want = sorted(map(str, mixing.mix(odd_docs).collect())), sorted(map(str, mixing.mix_rows(odd_docs).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
     assert (sorted(map(str, mixing.mix(odd_docs).collect())), sorted(map(str, mixing.mix_rows(odd_docs).collect()))) == want
+
+
+def test_rows_without_words_are_never_above_the_cap(spark):
+    """They follow their source's whole repetitions; a source without any words is not in the mix."""
+    rows = [(i, "", "a") for i in range(200)] + [(200 + i, "one two three", "a") for i in range(3)] + [(300 + i, " \t", "b") for i in range(5)] + [(400 + i, "x " * (i + 1), "c") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken = {r["doc_id"]: (r["taken"], r["size"], r["target"] / r["source_size"] if r["source_size"] else 0.0) for r in mixing.mix(docs).collect()}
+    mixed = Counter(r["doc_id"] for r in mixing.mix_rows(docs).collect())
+    for doc_id, text, source in rows:
+        words, size, rate = taken[doc_id]
+        assert mixed[doc_id] <= 2 and (size or mixed[doc_id] == int(rate)) and int(rate) <= mixed[doc_id] <= int(rate) + 1
+    assert not any(mixed[300 + i] for i in range(5)) and all(mixed[i] == 2 for i in range(203))
+    none = docs.where("source = 'b'")
+    assert mixing.mix_rows(none).count() == 0 and mixing.mix(none).count() == 5

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 from collections import Counter as Tally
 
@@ -189,3 +190,33 @@ def test_urls_equal_brute_force(spark):
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judge(long, RULES).collect()} == {1: ("example.org/es/", "block"), 2: (None, "allow"), 3: ("com/fr/", "allow")}
     assert time.time() - began < 30
     assert {r["verdict"] for r in U.judge(pages, []).collect()} == {"allow"}
+
+
+def test_repeated_items_are_looked_for_once(spark, monkeypatch):
+    """An item that is most of the benchmark stands once in its block; its hits are as many as its rows."""
+    words = [f"w{i}" for i in range(40)]
+    item = " ".join(words[:20])
+    bench = spark.createDataFrame([("a", item)] * 50 + [("b", item)] * 3 + [("c", " ".join(words[20:])), (None, item), ("d", None)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, "nothing"), (3, " ".join(words[20:]))], "doc_id bigint, text string")
+    for copies, block in ((4096, 500_000), (7, 30)):
+        monkeypatch.setattr(D, "COPIES", copies)
+        monkeypatch.setattr(D, "BLOCK_WORDS", block)
+        got = Tally((r["doc_id"], r["item_id"]) for r in D.find_leaks(docs, bench).collect())
+        assert got == {(1, "a"): 50, (1, "b"): 3, (1, None): 1, (3, "c"): 1}
+        assert [r["doc_id"] for r in D.drop_leaks(docs, bench).collect()] == [2]
+    assert sum(len(texts) for _, texts, _ in D._blocks(bench)) == 4
+
+
+@pytest.mark.parametrize("word", ["a" + "." * 1_000_000 + "b", "." * 1_000_000, "a" + "." * 1_000_000, "_" * 1_000_000 + "a", "a-" * 500_000])
+def test_one_very_long_word_takes_linear_time(word):
+    index = D.SeedIndex([" ".join(f"w{i}" for i in range(20))])
+    began = time.process_time()
+    assert [r for r, *_ in index.leaks([f"{word} " + " ".join(f"(w{i})" for i in range(20)) + " " + word])] == [0]
+    assert time.process_time() - began < 5
+
+
+def test_edges_are_those_of_the_pattern():
+    rng = random.Random(2)
+    for _ in range(2000):
+        word = "".join(rng.choice("aB1_-.é中²\u0301\u200d🤦١") for _ in range(rng.randrange(8)))
+        assert D.normal_word(word) == re.sub(r"^[\W_]+|[\W_]+$", "", word.lower())

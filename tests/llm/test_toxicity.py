@@ -1,5 +1,9 @@
 import itertools
+import math
+import re
+import time
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -54,7 +58,7 @@ def test_viterbi_is_the_best_of_all_strings(scorer):
         return out
 
     for span in ("1d10t", "l0.s3r", "a$$", "tr+sh", "h3ll0"):
-        ways = T.lattice(span)
+        ways = list(T.lattice(span))
         best = min(sum(c for _, c in pick) + cost("".join(p for p, _ in pick)) for pick in itertools.product(*ways))
         got = min(sum(c for _, c in pick) + cost("".join(p for p, _ in pick)) for pick in itertools.product(*ways) if " ".join("".join(p for p, _ in pick).split()) == T.restore(span, scorer.model))
         assert got == pytest.approx(best, abs=1e-4)
@@ -110,3 +114,68 @@ def test_labels_are_not_inputs_of_held_out_scores(spark, tables, scorer):
     turned = labels.withColumn("toxic", F.when(T.fold(F.col("doc_id")) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = T.train(docs, turned)
     assert again.odds == scorer.odds and np.allclose(again.curve, scorer.curve)
+
+
+def plain_restore(span, model):
+    """The decoding with whole strings in every state."""
+    states = {(0, 0): (0.0, "")}
+    for ways in [*T.lattice(span), [(" ", 0.0)]]:
+        new = {}
+        for (a, b), (cost, text) in states.items():
+            for put, extra in ways:
+                x, y, c = a, b, cost + extra
+                for ch in put:
+                    z = T.number(ch)
+                    if z or y or x:
+                        c += float(model[x, y, z])
+                        x, y = y, z
+                new[x, y] = min(new.get((x, y), (math.inf, "")), (c, text + put))
+        states = new
+    return " ".join(min(states.values())[1].split())
+
+
+def test_settled_beginnings_change_nothing(scorer):
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 63, 64, 65, 200, 400):
+        for letters in ("abcdeilost013457@$!.-*", "a1!", "@$", "o0"):
+            span = "".join(rng.choice(list(letters), n))
+            assert T.restore(span, scorer.model) == plain_restore(span, scorer.model)
+
+
+@pytest.mark.parametrize("word", ["a" + "-" * 1_000_000 + "x", "a" + "." * 1_000_000, "-" * 1_000_000, "_" * 1_000_000 + "a", "1" * 1_000_000 + "a", "!a" * 20_000 + "1" * 100_000, "i.d.i.o.t." * 10_000, "l33t" * 10_000, "a-" * 20_000 + "-" * 900_000])
+def test_one_very_long_word_takes_linear_time(scorer, word):
+    began = time.process_time()
+    assert 0 <= scorer.score(f"the {word} thing") <= 1
+    assert time.process_time() - began < 20
+
+
+def test_marks_at_the_end_are_those_of_the_pattern():
+    rng = np.random.default_rng(2)
+    for _ in range(2000):
+        word = "".join(rng.choice(list("ab1_-.é中²\u0301\u200d🤦١")) for _ in range(rng.integers(0, 8)))
+        assert T.strip_right(word) == re.sub(r"[\W_]+$", "", word)
+
+
+def test_learned_odds_equal_a_plain_count(tables, scorer):
+    """Which features are learned and with what odds, counted by loops over all training rows."""
+    rows = [(r["text"], r["toxic"]) for r in T.training_rows(*tables).collect()]
+    restorer, contexts, fine = T.Restorer(scorer.model), defaultdict(set), defaultdict(int)
+    for text, toxic in rows:
+        words = restorer.words(text or "")
+        if toxic:
+            for before, w in zip(["", *words], words):
+                for f in T.features(w):
+                    contexts[f].add(before)
+        else:
+            for f in {f for w in words for f in T.features(w)}:
+                fine[f] += 1
+    bad, good = sum(y for _, y in rows), sum(not y for _, y in rows)
+    least = max(T.LEAST_CONTEXTS, int(T.LEAST_SHARE * bad))
+    odds = {f: math.log((len(c) + 0.5) / (bad + 1)) - math.log((fine[f] + 0.5) / (good + 1)) for f, c in contexts.items() if len(c) >= least}
+    want = {f: o for f, o in odds.items() if o >= T.LEAST_ODDS}
+    assert set(scorer.odds) == set(want) and all(scorer.odds[f] == pytest.approx(o) for f, o in want.items())
+
+
+def test_pairs_are_handed_on_in_portions(tables, scorer, monkeypatch):
+    monkeypatch.setattr(T, "HELD_PAIRS", 50)
+    assert T.train(*tables).odds == scorer.odds
