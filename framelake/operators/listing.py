@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import exprs as X
@@ -44,19 +44,20 @@ def skipped(planned: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def collisions(files: DataFrame) -> DataFrame:
-    """Videos that share an output: output_path, file_id, rn, blocked_by (the first one, which keeps it)."""
-    df = videos(files).withColumn("output_path", output_path(F.col("path")))
-    order = Window.partitionBy("output_path").orderBy(F.lower("name"), "path", "file_id")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumns({"rn": F.row_number().over(order), "n": F.count("*").over(whole), "first": F.first("file_id").over(whole)})
-    return df.where("n > 1").select("output_path", "file_id", "rn", F.when(F.col("rn") > 1, F.col("first")).alias("blocked_by"))
+    """Videos that share an output: output_path, file_id, rn, blocked_by (the first one, which keeps it).
+
+    Numbers are given by ranges, so one output of very many files isn't one task.
+    """
+    df = videos(files).select(output_path(F.col("path")).alias("output_path"), F.lower("name").alias("low"), "path", "file_id")
+    df = numbered(df, "output_path", ["low", "path", "file_id"]).where("in_group > 1")
+    return df.select("output_path", "file_id", F.col("position").alias("rn"), F.when(F.col("position") > 1, F.col("leader.file_id")).alias("blocked_by"))
 
 
 def positions(files: DataFrame) -> DataFrame:
-    """File i of n in each directory with more than one video: directory, file_id, current_file, total_files."""
+    """File i of n in each directory with more than one video: directory, file_id, path, current_file, total_files."""
     df = videos(files).select(X.directory(F.col("path")).alias("directory"), F.lower("name").alias("low"), "path", "file_id")
     df = numbered(df, "directory", ["low", "path", "file_id"]).where("in_group > 1")
-    return df.select("directory", "file_id", F.col("position").alias("current_file"), F.col("in_group").alias("total_files"))
+    return df.select("directory", "file_id", "path", F.col("position").alias("current_file"), F.col("in_group").alias("total_files"))
 
 
 def stale(files: DataFrame, prefix: str, max_age_hours: float) -> DataFrame:

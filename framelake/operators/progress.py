@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import exprs as X
 
+from .numbering import scan_runs
+
 GATE_PERCENT, LAST_BUCKET = 5, 20
 
 
@@ -45,37 +47,44 @@ def enriched(lines: DataFrame, jobs: DataFrame) -> DataFrame:
 ORDER = ["ts", "event_id"]
 
 
+def _started() -> Column:
+    return F.col("kind") == "encoding_started"
+
+
 def runs(progress: DataFrame) -> DataFrame:
     """Adds run_no: each start begins a new run of its job; what comes before the first one is run 0."""
-    order = Window.partitionBy("job_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return progress.withColumn("run_no", F.sum(F.when(F.col("kind") == "encoding_started", 1).otherwise(0)).over(order))
+    return scan_runs(progress, "job_id", ORDER, _started()).drop("before")
 
 
-def _snapshots(progress: DataFrame) -> DataFrame:
-    percent = X.percent_done(F.col("elapsed_secs"), F.col("duration_secs"))
-    return runs(progress).where("kind = 'encoding_progress'").withColumn("percent", percent)
+def with_percent(progress: DataFrame) -> DataFrame:
+    """Adds the percentage of each snapshot, null for other events."""
+    return progress.withColumn("percent", F.when(F.col("kind") == "encoding_progress", X.percent_done(F.col("elapsed_secs"), F.col("duration_secs"))))
 
 
 def bucket(percent: Column) -> Column:
     return (percent / F.lit(float(GATE_PERCENT))).cast("int")
 
 
+def shown(percent: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), percent))
+
+
 def gate(progress: DataFrame) -> DataFrame:
     """The snapshots that reach a new five per cent of their run: event_id, job_id, run_no, bucket."""
-    df = _snapshots(progress).withColumn("bucket", bucket(F.col("percent"))).where(F.col("bucket") <= LAST_BUCKET)
-    before = Window.partitionBy("job_id", "run_no").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("before", F.coalesce(F.max("bucket").over(before), F.lit(-1)))
-    return df.where(F.col("bucket") > F.col("before")).select("event_id", "job_id", "run_no", "bucket")
+    df = with_percent(progress).withColumn("bucket", bucket(F.col("percent"))).select("event_id", "job_id", "ts", "kind", "bucket")
+    df = scan_runs(df, "job_id", ORDER, _started(), F.when(F.col("bucket") <= LAST_BUCKET, F.col("bucket")))
+    new = (F.col("bucket") <= LAST_BUCKET) & (F.col("bucket") > F.coalesce("before", F.lit(-1)))
+    return df.where(new).select("event_id", "job_id", "run_no", "bucket")
 
 
 def monotone(progress: DataFrame) -> DataFrame:
     """The percentage to show, which never falls in a run: event_id, job_id, run_no, shown_percent."""
-    upto = Window.partitionBy("job_id", "run_no").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shown = F.max(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("percent")))).over(upto)
-    return _snapshots(progress).select("event_id", "job_id", "run_no", shown.alias("shown_percent"))
+    df = with_percent(progress).select("event_id", "job_id", "ts", "kind", F.when(F.col("percent").isNotNull(), shown(F.col("percent"))).alias("shown"))
+    df = scan_runs(df, "job_id", ORDER, _started(), F.col("shown")).where("shown IS NOT NULL")
+    return df.select("event_id", "job_id", "run_no", F.greatest("shown", "before").alias("shown_percent"))
 
 
 def latest(progress: DataFrame) -> DataFrame:
     """Each job's newest snapshot: job_id, event_id, elapsed_secs, percent."""
     newest = F.max_by(F.struct("event_id", "elapsed_secs", "percent"), F.struct(*ORDER))
-    return _snapshots(progress).groupBy("job_id").agg(newest.alias("s")).select("job_id", "s.event_id", "s.elapsed_secs", "s.percent")
+    return with_percent(progress).where("kind = 'encoding_progress'").groupBy("job_id").agg(newest.alias("s")).select("job_id", "s.event_id", "s.elapsed_secs", "s.percent")

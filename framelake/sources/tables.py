@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -33,8 +34,28 @@ def shared_dir(df: DataFrame) -> str:
     return found.rstrip("/")
 
 
+def app_dir(df: DataFrame) -> str:
+    """This application's folder for intermediate tables. It is deleted when the driver ends; if that is killed, the
+    cluster's retention clears it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(df)}/tables-{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, for what several parts of a query read."""
-    path = f"{shared_dir(df)}/tables-{uuid.uuid4().hex}/{name}"
+    path = f"{app_dir(df)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more."""
+    spark = df.sparkSession
+    for f in {os.path.dirname(x) for x in df.inputFiles() if "/tables-" in x}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
