@@ -6,7 +6,7 @@ micro-batches they count in the order of arrival, as the batch operators would s
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +43,32 @@ def enriched(lines: DataFrame, jobs: DataFrame) -> DataFrame:
     return P.enriched(lines, jobs)
 
 
+OUTPUT = ["event_id", "job_id", "run_no", "bucket", "emitted", "shown_percent"]
+
+
+class Run:
+    """A job's run so far: its number, the last five per cent let through, and the most shown."""
+
+    def __init__(self, run_no: int = 0, last: int = -1, most: float = 0.0) -> None:
+        self.run_no, self.last, self.most = run_no, last, most
+
+    def state(self) -> tuple[int, int, float]:
+        return self.run_no, self.last, self.most
+
+    def see(self, event_id: int, job_id: int, kind: str, percent: float) -> tuple | None:
+        """The row of OUTPUT for a snapshot; None for other events."""
+        if kind == "encoding_started":
+            self.run_no, self.last, self.most = self.run_no + 1, -1, 0.0
+        if kind != "encoding_progress":
+            return None
+        bucket = int(percent / P.GATE_PERCENT)
+        emit = self.last < bucket <= P.LAST_BUCKET
+        self.last, self.most = bucket if emit else self.last, max(self.most, min(100.0, max(0.0, percent)))
+        return event_id, job_id, self.run_no, bucket, emit, self.most
+
+
 class _Gate(StatefulProcessor):
-    """Per job: the number of its run, the last five per cent let through, and the most shown."""
+    """Per job: the state of its run."""
 
     def __init__(self, idle_ms: int | None) -> None:
         self.idle_ms = idle_ms
@@ -54,18 +78,10 @@ class _Gate(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         df = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        run, last, most = self.state.get() if self.state.exists() else (0, -1, 0.0)
-        out = []
-        for r in df.itertuples(index=False):
-            if r.kind == "encoding_started":
-                run, last, most = run + 1, -1, 0.0
-            elif r.kind == "encoding_progress":
-                bucket = int(r.percent / P.GATE_PERCENT)
-                emit = last < bucket <= P.LAST_BUCKET
-                last, most = bucket if emit else last, max(most, min(100.0, max(0.0, r.percent)))
-                out.append((r.event_id, key[0], run, bucket, emit, most))
-        self.state.update((run, last, most))
-        yield pd.DataFrame(out, columns=["event_id", "job_id", "run_no", "bucket", "emitted", "shown_percent"])
+        run = Run(*(self.state.get() if self.state.exists() else ()))
+        out = [x for r in df.itertuples(index=False) if (x := run.see(r.event_id, key[0], r.kind, r.percent))]
+        self.state.update(run.state())
+        yield pd.DataFrame(out, columns=OUTPUT)
 
     def close(self) -> None:
         pass
@@ -92,22 +108,22 @@ def monotone(progress: DataFrame) -> DataFrame:
     return tracked(progress).select("event_id", "job_id", "run_no", "shown_percent")
 
 
-def totals(results: DataFrame) -> DataFrame:
-    """The sums of each batch so far, for update or complete mode."""
-    return results.groupBy("batch").agg(
-        F.count("*").alias("successful"), F.sum("input_size").alias("input_bytes"), F.sum("output_size").alias("output_bytes"), F.sum("elapsed_ms").alias("elapsed_ms"), F.sum("video_ms").alias("video_ms"), F.count_if("is_valid").alias("passed")
-    )
+#: A batch lasts no longer than this from its start; later results of it are late.
+LASTING = "2 days"
+
 
+def once(results: DataFrame, lasting: str = LASTING) -> DataFrame:
+    """Results (with batch, started: when their batch began, and file_id), each file of a batch once, however often it is
+    delivered: the first delivery counts. What is remembered of a batch goes when batches that began `lasting` later come in."""
+    return results.withColumn("started", F.col("started").cast("timestamp")).withWatermark("started", lasting).dropDuplicatesWithinWatermark(["batch", "file_id"])
 
-def fan_out(sinks: list[Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each micro-batch, computed once, to every sink in order."""
 
-    def write(df: DataFrame, epoch: int) -> None:
-        df.persist()
-        try:
-            for sink in sinks:
-                sink(df, epoch)
-        finally:
-            df.unpersist()
+def totals(results: DataFrame, lasting: str = LASTING) -> DataFrame:
+    """The sums of each batch so far, for update mode, or append mode if only ended batches are wanted.
 
-    return write
+    Rows of `once` are summed by batch and start. A batch ends when the watermark passes its start: its state goes, and
+    results that still come are late, so they are dropped (Spark counts them as numRowsDroppedByWatermark).
+    """
+    return once(results, lasting).groupBy("batch", "started").agg(
+        F.count("*").alias("successful"), F.sum("input_size").alias("input_bytes"), F.sum("output_size").alias("output_bytes"), F.sum("elapsed_ms").alias("elapsed_ms"), F.sum("video_ms").alias("video_ms"), F.count_if("is_valid").alias("passed")
+    )
