@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import exprs as X
 
+from .directories import MediaListing
+
+
+def list_directories(spark: SparkSession, paths: list[str], tasks: int = 64) -> DataFrame:
+    """The videos in these directories, not below them: path, length, modificationTime. Contents aren't read, tasks do the listing."""
+    spark.dataSource.register(MediaListing)
+    return spark.read.format(MediaListing.name()).option("directories", json.dumps(paths)).option("tasks", tasks).load()
+
 
 def list_directory(spark: SparkSession, path: str) -> DataFrame:
-    """The videos in one directory, not below it: path, length, modificationTime, by name whatever its case. Contents aren't read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
-    name = X.basename(F.col("path"))
-    found = files.where(~name.startswith(".") & X.extension(name).isin(X.VIDEO_EXTENSIONS))
+    """The videos in one directory, by name whatever its case, equal names by path. A directory without any is an error."""
+    found = list_directories(spark, [path])
     if found.isEmpty():
         raise FileNotFoundError(f"no video files in {path}")
-    return found.orderBy(F.lower(name), "path")
+    return found.orderBy(F.lower(X.basename(F.col("path"))), "path")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
