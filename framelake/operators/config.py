@@ -20,13 +20,13 @@ BANDS = [("SD", 0, 1920), ("HD", 1920, 3840), ("UHD", 3840, 2**31 - 1)]
 
 
 def presets(spark: SparkSession) -> DataFrame:
-    return _values(spark, PRESETS, PRESET_COLUMNS)
+    return values_table(spark, PRESETS, PRESET_COLUMNS)
 
 
-def _values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+def values_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     """A small table of fixed values as an inline table of the plan."""
     names, kinds = zip(*(c.split() for c in columns.split(", ")))
-    text = lambda v: str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else str(v)
+    text = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
     listed = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
     return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {k}) AS {n}' for n, k in zip(names, kinds))} FROM VALUES {listed} AS t({', '.join(names)})")
 
@@ -35,7 +35,7 @@ def band_table(spark: SparkSession, preset: str = "grain") -> DataFrame:
     """The CRF of each width band under a preset."""
     values = next((p for p in PRESETS if p[0] == preset), PRESETS[0])
     rows = [(name, low, high, crf) for (name, low, high), crf in zip(BANDS, values[1:4])]
-    return _values(spark, rows, "category string, low int, high int, crf int")
+    return values_table(spark, rows, "category string, low int, high int, crf int")
 
 
 def crf_by_band(probe: DataFrame, bands: DataFrame) -> DataFrame:

@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import exprs as X
+from framelake.sources.tables import materialize
 
 from . import audio as A
 from . import config as C
 from . import crop as K
+from .options import EncodeOptions
 
 # Encoder parameters that every plan has.
 KEYINT, SCENE_CHANGE, SCREEN_MODE = "10s", "1", "0"
+#: Requests, of one short row each, that are broadcast; among how many parts the files of a request are dealt beyond that.
+BROADCAST_REQUESTS, SALTS = 200_000, 32
 
 
 def encoder_params() -> Column:
@@ -59,20 +63,28 @@ def matrix_choice(is_hdr: Column, source: Column) -> Column:
     return F.when(is_hdr, F.coalesce(F.nullif(source, F.lit("")), F.lit("bt2020nc"))).otherwise("bt709")
 
 
-def plan(probe: DataFrame, tracks: DataFrame, crops: DataFrame, audio: DataFrame, preset: str = "grain", settings: DataFrame | None = None) -> DataFrame:
-    """One row for each file whose tracks can be read: what it is and how to encode it.
+# What every plan encodes with.
+ENCODER, VIDEO_CODEC, PIXEL_FORMAT, AUDIO_CODEC = "SVT-AV1", "libsvtav1", "yuv420p10le", "Opus"
+
+PLAN = ["file_id", "category", "resolution", "duration", "crf", "is_hdr", "matrix", "crop_filter", "filter_chain", "svt_params", "settings", "audio_config", "out_width", "out_height"]
+
 
-    All joins are on file_id, as are the aggregations below them. settings: a row of file_settings for each file that is to
-    be planned; without it all files have those of the preset.
+def described(probe: DataFrame, tracks: DataFrame, crops: DataFrame, audio: DataFrame, options: EncodeOptions = EncodeOptions(), settings: DataFrame | None = None) -> DataFrame:
+    """The plan of each file, with what else is said of it: the preset's label, encoder_preset, tune, dynamic_range, the
+    basic and results descriptions of the audio, the number of streams, and what crop detection found.
+
+    All joins are on file_id, as are the aggregations below them. options: the settings of all files, unless there are
+    `settings`; and whether crops are detected.
     """
     hdr = X.hdr_from_track(F.col("colour_primaries"), F.col("transfer_characteristics"), F.col("matrix_coefficients"))
     facts = tracks.select("file_id", hdr.alias("is_hdr"), F.col("matrix_coefficients").alias("source_matrix"))
     sounds = A.ordered(audio).select("file_id", F.transform("s", lambda x: x["channels"]).alias("ch"))
-    df = probe.select("file_id", "width", "height", "duration_secs").join(facts, "file_id").join(K.decide_all(probe, crops).select("file_id", "crop_filter"), "file_id").join(sounds, "file_id", "left")
+    found = K.decide_all(probe, crops, disabled=not options.crop).select("file_id", "crop_filter", F.col("required").alias("crop_required"), F.col("message").alias("crop_message"), "total_samples")
+    df = probe.select("file_id", "width", "height", "duration_secs").join(facts, "file_id").join(found, "file_id").join(sounds, "file_id", "left")
     if settings is None:
-        names = [c.split()[0] for c in C.PRESET_COLUMNS.split(", ")]
-        chosen = dict(zip(names, next((p for p in C.PRESETS if p[0] == preset), C.PRESETS[0])))
-        df = df.withColumns({k: F.lit(v) for k, v in chosen.items()} | {"denoise_filter": F.lit(""), "film_grain": F.lit(None).cast("int"), "film_grain_denoise": F.lit(None).cast("boolean")})
+        kinds = dict(c.split() for c in C.PRESET_COLUMNS.split(", ")) | {"film_grain": "int", "film_grain_denoise": "boolean"}
+        chosen = options.resolved(probe.sparkSession)
+        df = df.withColumns({k: F.lit(chosen[k]).cast(t) for k, t in kinds.items()} | {"denoise_filter": F.lit("")})
     else:
         df = df.join(settings, "file_id")
     df = df.withColumn("ch", F.coalesce("ch", F.array().cast("array<bigint>")))
@@ -93,19 +105,44 @@ def plan(probe: DataFrame, tracks: DataFrame, crops: DataFrame, audio: DataFrame
         A.config_text(F.col("ch")).alias("audio_config"),
         w.alias("out_width"),
         h.alias("out_height"),
+        X.preset_label(F.col("preset")).alias("preset_label"),
+        "encoder_preset",
+        "tune",
+        X.dynamic_range(F.col("is_hdr")).alias("dynamic_range"),
+        A.basic_text(F.col("ch")).alias("audio_description"),
+        A.results_text(F.col("ch")).alias("audio_results"),
+        F.size("ch").alias("n_streams"),
+        "crop_required",
+        "crop_message",
+        "total_samples",
+        F.lit(not options.crop).alias("crop_disabled"),
     )
 
 
+def plan(probe: DataFrame, tracks: DataFrame, crops: DataFrame, audio: DataFrame, options: EncodeOptions = EncodeOptions(), settings: DataFrame | None = None) -> DataFrame:
+    """One row for each file whose tracks can be read: what it is and how to encode it.
+
+    settings: a row of file_settings for each file that is to be planned; without it all files have those of the options.
+    """
+    return described(probe, tracks, crops, audio, options, settings).select(*PLAN)
+
+
 def file_settings(files: DataFrame, requests: DataFrame, tuning: DataFrame) -> DataFrame:
     """The settings of each file of (file_id, request_id) whose request is sound; files of others have no row.
 
-    tuning: request_id, variance_boost, boost_strength, boost_octile, denoise_filter, which win over the preset where given.
+    One request may have much of the catalogue: up to BROADCAST_REQUESTS requests go whole to every executor, so that files
+    stay where they are; more are joined by request and salt. tuning: request_id, variance_boost, boost_strength, boost_octile, denoise_filter, which win over the preset where given.
     """
     boost = ["variance_boost", "boost_strength", "boost_octile"]
     base = C.presets(requests.sparkSession).select("preset", *[F.col(c).alias(f"p_{c}") for c in boost])
     asked = C.resolved(requests).join(F.broadcast(base), "preset").join(tuning, "request_id", "left")
-    asked = asked.select("request_id", "crf_sd", "crf_hd", "crf_uhd", "encoder_preset", "tune", "ac_bias", "film_grain", "film_grain_denoise", *[F.coalesce(c, f"p_{c}").alias(c) for c in boost], F.coalesce("denoise_filter", F.lit("")).alias("denoise_filter"))
-    return files.join(asked, "request_id").drop("request_id")
+    asked = asked.select("request_id", "preset", "crf_sd", "crf_hd", "crf_uhd", "encoder_preset", "tune", "ac_bias", "film_grain", "film_grain_denoise", *[F.coalesce(c, f"p_{c}").alias(c) for c in boost], F.coalesce("denoise_filter", F.lit("")).alias("denoise_filter"))
+    asked = materialize(asked, "requests")
+    if asked.count() <= BROADCAST_REQUESTS:
+        return files.join(F.broadcast(asked), "request_id").drop("request_id")
+    salt = F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).cast("int")
+    salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return files.withColumn("salt", salt).join(salted, ["request_id", "salt"]).drop("request_id", "salt")
 
 
 def tasks(plans: DataFrame, streams: DataFrame) -> DataFrame:

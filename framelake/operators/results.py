@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from framelake.functions import exprs as X
 
+from framelake.sources.tables import write_table
+
 from .numbering import numbered
 
 
@@ -47,16 +49,46 @@ def batch_result(summarised: DataFrame) -> DataFrame:
     return summarised.select("batch", "successful", "total_files", "input_bytes", "output_bytes", X.size_reduction(F.col("input_bytes"), F.col("output_bytes")).alias("reduction_pct"), "passed")
 
 
+def with_only(summarised: DataFrame, results: DataFrame) -> DataFrame:
+    """Adds only_name, the least file name of each batch's results."""
+    return summarised.join(results.groupBy("batch").agg(F.min("filename").alias("only_name")), "batch", "left")
+
+
 def outcome(summarised: DataFrame, results: DataFrame) -> DataFrame:
     """batch, kind, message: a warning without results, the file's name for one, a batch summary for more."""
-    only = results.groupBy("batch").agg(F.min("filename").alias("filename"))
-    df = summarised.join(only, "batch", "left")
     n = F.col("successful")
     kind = F.when(n == 0, "warning").when(n == 1, "operation_complete").otherwise("batch_complete")
-    message = F.when(n == 0, "No files were successfully encoded").when(n == 1, F.concat(F.lit("Successfully encoded "), F.col("filename"))).otherwise(F.concat(X.text(n), F.lit(" of "), X.text(F.col("total_files")), F.lit(" succeeded")))
-    return df.select("batch", kind.alias("kind"), message.alias("message"))
+    message = F.when(n == 0, "No files were successfully encoded").when(n == 1, F.concat(F.lit("Successfully encoded "), F.col("only_name"))).otherwise(F.concat(X.text(n), F.lit(" of "), X.text(F.col("total_files")), F.lit(" succeeded")))
+    return with_only(summarised, results).select("batch", kind.alias("kind"), message.alias("message"))
 
 
 def file_reductions(results: DataFrame) -> DataFrame:
     """Each batch's files in their order with what each saved: batch, position, filename, reduction_pct."""
     return numbered(results.select("batch", "file_id", "filename", "reduction_pct"), "batch", ["file_id"]).select("batch", "position", "filename", "reduction_pct")
+
+
+LEVELS = [["category", "dynamic_range", "preset"], ["category", "dynamic_range"], ["category", "preset"], ["category"], ["dynamic_range"], ["preset"], []]
+
+
+def rollup(results: DataFrame) -> DataFrame:
+    """Results (with category, dynamic_range and preset) summed at each of LEVELS in one pass: level (the grouping id: a bit
+    for each column that is summed over, category's the highest), the columns (null where summed over), files, passed,
+    input_bytes, output_bytes, reduction_pct, avg_speed. No results, no rows."""
+    sets = results.groupingSets([[F.col(c) for c in level] for level in LEVELS], *map(F.col, LEVELS[0]))
+    df = sets.agg(
+        F.grouping_id().alias("level"), F.count("*").alias("files"), F.count_if("is_valid").alias("passed"), F.sum("input_size").alias("input_bytes"), F.sum("output_size").alias("output_bytes"), F.sum("elapsed_ms").alias("elapsed_ms"), F.sum("video_ms").alias("video_ms")
+    )
+    speed = F.when(F.col("elapsed_ms") > 0, F.col("video_ms") / F.col("elapsed_ms")).otherwise(F.lit(0.0))
+    return df.select("level", *LEVELS[0], "files", "passed", "input_bytes", "output_bytes", X.size_reduction(F.col("input_bytes"), F.col("output_bytes")).alias("reduction_pct"), F.coalesce(speed, F.lit(0.0)).alias("avg_speed"))
+
+
+def write_results(results: DataFrame, root: str, name: str = "encode_results") -> dict[str, int]:
+    """Write results as a table (tables.write_table) and return their sums, counted while they are written: successful,
+    input_bytes, output_bytes, elapsed_ms, video_ms, passed. Nothing is read again."""
+    seen = Observation()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias
+    counted = results.observe(
+        seen, F.count(F.lit(1)).alias("successful"), total("input_size")("input_bytes"), total("output_size")("output_bytes"), total("elapsed_ms")("elapsed_ms"), total("video_ms")("video_ms"), F.count_if("is_valid").alias("passed")
+    )
+    write_table(counted, root, name)
+    return dict(seen.get)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,10 @@ from .catalogue_files import CRF_SQL, EFFECTIVE_SQL, PLANNED_SQL, PRESET_SQL, TR
 from .catalogue_media import TO_DECISION, sql
 from .relations import relation
 
-#: Of this batch come so many file ids.
-BATCHES = 50
+#: The batch of a file: one of 50, but for a few files that are encoded alone. The text runs in both engines.
+BATCH = "CASE WHEN file_id % 501 = 1 THEN 1000 + file_id ELSE file_id % 50 END"
 
-ALL_CROPS_SQL = """all_crops AS (SELECT p.*, coalesce(c.crop_filter, '') AS crop_filter FROM m_probe p LEFT JOIN crop_decision c ON p.file_id = c.file_id),
+ALL_CROPS_SQL = """all_crops AS (SELECT p.*, coalesce(c.crop_filter, '') AS crop_filter, coalesce(c.message, 'Analyzed 141 samples') AS crop_message, coalesce(c.required, false) AS crop_required, coalesce(c.total_samples, 141) AS total_samples FROM m_probe p LEFT JOIN crop_decision c ON p.file_id = c.file_id),
 dims AS (SELECT *, CASE WHEN crop_filter <> '' THEN CAST(string_split(replace(crop_filter, 'crop=', ''), ':')[1] AS BIGINT) ELSE width END AS out_w,
   CASE WHEN crop_filter <> '' THEN CAST(string_split(crop_filter, ':')[2] AS BIGINT) ELSE height END AS out_h FROM all_crops)"""
 PLAN_SQL = f"""{ALL_CROPS_SQL},
@@ -25,19 +27,37 @@ track_hdr AS (SELECT *, {TRACK_HDR} AS is_hdr FROM m_track),
 plan AS (SELECT d.file_id, CASE WHEN width >= 3840 THEN 'UHD' WHEN width >= 1920 THEN 'HD' ELSE 'SD' END AS category, width || 'x' || height AS resolution,
   printf('%02d:%02d:%02d', CAST(floor(duration_secs) AS BIGINT) // 3600, CAST(floor(duration_secs) AS BIGINT) % 3600 // 60, CAST(floor(duration_secs) AS BIGINT) % 60) AS duration,
   CASE WHEN width >= 1920 THEN 26 ELSE 24 END AS crf, is_hdr, CASE WHEN is_hdr THEN CASE WHEN matrix_coefficients = '' THEN 'bt2020nc' ELSE matrix_coefficients END ELSE 'bt709' END AS matrix,
-  crop_filter, crop_filter AS filter_chain, 'ac-bias=0.1:enable-variance-boost=0:tune=0:keyint=10s:scd=1:scm=0' AS svt_params,
-  'CRF=' || CASE WHEN width >= 1920 THEN 26 ELSE 24 END || ', SVT preset=6, Tune=0, AC bias=0.10, Variance boost=disabled' AS settings, coalesce(a.config, 'No audio') AS audio_config, out_w AS out_width, out_h AS out_height
+  crop_filter, crop_filter AS filter_chain, crop_message, crop_required, total_samples, 'ac-bias=0.1:enable-variance-boost=0:tune=0:keyint=10s:scd=1:scm=0' AS svt_params,
+  'CRF=' || CASE WHEN width >= 1920 THEN 26 ELSE 24 END || ', SVT preset=6, Tune=0, AC bias=0.10, Variance boost=disabled' AS settings, coalesce(a.config, 'No audio') AS audio_config, out_w AS out_width, out_h AS out_height,
+  coalesce(a.basic, 'No audio') AS audio_description, coalesce(a.results, 'No audio') AS audio_results, coalesce(a.n, 0) AS n_streams
   FROM dims d JOIN track_hdr t ON d.file_id = t.file_id LEFT JOIN audio_texts a ON d.file_id = a.file_id)"""
+PLAN_COLUMNS = ", ".join(encoding.PLAN)
 
 
-def plans(s: SparkSession, d: str) -> DataFrame:
-    return encoding.plan(relation(s, d, "m_probe"), relation(s, d, "m_track"), relation(s, d, "m_crop"), relation(s, d, "m_audio"))
+#: From a name to a relation; `relation` over the given tables unless a plan is to read others, say bucketed ones.
+Relations = Callable[[str], DataFrame]
 
 
-def requested_plans(s: SparkSession, d: str) -> DataFrame:
+def _rel(s: SparkSession, d: str, rel: Relations | None) -> Relations:
+    return rel or (lambda name: relation(s, d, name))
+
+
+def described(s: SparkSession, d: str, rel: Relations | None = None) -> DataFrame:
+    return encoding.described(*map(_rel(s, d, rel), ("m_probe", "m_track", "m_crop", "m_audio")))
+
+
+def plans(s: SparkSession, d: str, rel: Relations | None = None) -> DataFrame:
+    return described(s, d, rel).select(*encoding.PLAN)
+
+
+def requested(s: SparkSession, d: str) -> DataFrame:
     """Each file planned as its own request asks; files whose request fails a rule are left out."""
     settings = encoding.file_settings(relation(s, d, "m_asked"), relation(s, d, "m_request"), relation(s, d, "m_tuning"))
-    return encoding.plan(relation(s, d, "m_probe"), relation(s, d, "m_track"), relation(s, d, "m_crop"), relation(s, d, "m_audio"), settings=settings)
+    return encoding.described(*map(_rel(s, d, None), ("m_probe", "m_track", "m_crop", "m_audio")), settings=settings)
+
+
+def requested_plans(s: SparkSession, d: str) -> DataFrame:
+    return requested(s, d).select(*encoding.PLAN)
 
 
 REQUESTED_SQL = f"""{ALL_CROPS_SQL},{PRESET_SQL},{CRF_SQL},{EFFECTIVE_SQL},
@@ -58,20 +78,21 @@ plan AS (SELECT d.file_id, CASE WHEN width >= 3840 THEN 'UHD' WHEN width >= 1920
   FROM sized d JOIN track_hdr t ON d.file_id = t.file_id LEFT JOIN audio_texts a ON d.file_id = a.file_id)"""
 
 
-def checked(s: SparkSession, d: str) -> DataFrame:
+def checked(s: SparkSession, d: str, rel: Relations | None = None) -> DataFrame:
     """The live rules over m_output: all is expected, taken from m_probe, the crops and the audio."""
-    probe, c = relation(s, d, "m_probe"), F.col
-    tracks = audio.ordered(relation(s, d, "m_audio")).select("file_id", F.size("s").alias("tracks"))
+    rel, c = _rel(s, d, rel), F.col
+    probe = rel("m_probe")
+    tracks = audio.ordered(rel("m_audio")).select("file_id", F.size("s").alias("tracks"))
     w, h = X.output_dims(c("width"), c("height"), F.when(c("file_id") % 2 == 0, c("crop_filter")))
     hdr = X.hdr_from_track(F.lit(""), F.when(c("color_transfer") == "smpte2084", "SMPTE 2084").otherwise(""), F.lit(""))
-    expected = probe.join(crop.decide_all(probe, relation(s, d, "m_crop")).select("file_id", "crop_filter"), "file_id").join(tracks, "file_id", "left")
+    expected = probe.join(crop.decide_all(probe, rel("m_crop")).select("file_id", "crop_filter"), "file_id").join(tracks, "file_id", "left")
     expected = expected.select("file_id", w.alias("width"), h.alias("height"), "duration_secs", (hdr & (c("file_id") % 3 == 0)).alias("hdr"), F.coalesce("tracks", F.lit(0)).alias("tracks"))
     found_hdr = F.when(c("file_id") % 53 != 0, X.hdr_from_track(F.lit(""), c("transfer_characteristics"), F.lit("")))
-    actual = relation(s, d, "m_output").select(
+    actual = rel("m_output").select(
         "file_id", c("out_width").alias("width"), c("out_height").alias("height"), c("out_duration_secs").alias("duration_secs"), F.when(c("file_id") % 59 != 0, c("codec_name")).alias("codec"),
         c("out_bit_depth").alias("bit_depth"), F.when(c("file_id") % 8 == 0, F.lit(12)).alias("track_depth"), found_hdr.alias("hdr"),
     )
-    streams = audio.ordered(relation(s, d, "m_out_audio")).select("file_id", F.when(c("file_id") % 61 != 0, c("s")).alias("s"))
+    streams = audio.ordered(rel("m_out_audio")).select("file_id", F.when(c("file_id") % 61 != 0, c("s")).alias("s"))
     return validation.check(expected, actual, streams)
 
 
@@ -111,27 +132,35 @@ def _check_sql(body: str) -> str:
     return sql("m_probe m_crop m_output m_out_audio", f",{CHECK_SQL} {body}", *TO_DECISION)
 
 
-def encoded(s: SparkSession, d: str, check: DataFrame | None = None) -> DataFrame:
-    inputs = relation(s, d, "m_probe").select("file_id", "input_size", "duration_secs")
-    outputs = relation(s, d, "m_output").select("file_id", F.when(F.col("file_id") % 97 != 0, F.col("output_size")).alias("output_size"), "elapsed_secs")
-    return results.encode_results(inputs, outputs, (check or checked(s, d)).select("file_id", "is_valid"))
+def encoded(s: SparkSession, d: str, check: DataFrame | None = None, rel: Relations | None = None) -> DataFrame:
+    rel = _rel(s, d, rel)
+    inputs = rel("m_probe").select("file_id", "input_size", "duration_secs")
+    outputs = rel("m_output").select("file_id", F.when(F.col("file_id") % 97 != 0, F.col("output_size")).alias("output_size"), "elapsed_secs")
+    return results.encode_results(inputs, outputs, (check or checked(s, d, rel)).select("file_id", "is_valid"))
 
 
 def batched(df: DataFrame) -> DataFrame:
-    return df.withColumns({"batch": F.col("file_id") % BATCHES, "filename": F.format_string("f%d.mkv", "file_id")})
+    return df.withColumns({"batch": F.expr(BATCH), "filename": F.format_string("f%d.mkv", "file_id")})
 
 
-def summarised(s: SparkSession, d: str, done: DataFrame | None = None) -> DataFrame:
-    return results.summary(batched(done or encoded(s, d)), batched(relation(s, d, "m_probe").select("file_id")))
+def summarised(s: SparkSession, d: str, done: DataFrame | None = None, rel: Relations | None = None) -> DataFrame:
+    """done: results that have been computed before, as they are or batched."""
+    return results.summary(batched(done or encoded(s, d, rel=rel)), batched(_rel(s, d, rel)("m_probe").select("file_id")))
 
 
-RESULTS_SQL = """results AS (SELECT p.file_id, p.file_id % 50 AS batch, 'f' || p.file_id || '.mkv' AS filename, p.input_size, CASE WHEN p.file_id % 97 <> 0 THEN output_size ELSE 0 END AS output_size,
+def rolled_up(s: SparkSession, d: str) -> DataFrame:
+    """What files encoded as their requests ask came to, by width band, dynamic range and preset."""
+    facts = requested(s, d).select("file_id", "category", "dynamic_range", F.col("preset_label").alias("preset"))
+    return results.rollup(encoded(s, d).join(facts, "file_id"))
+
+
+RESULTS_SQL = f"""results AS (SELECT p.file_id, {BATCH.replace('file_id', 'p.file_id')} AS batch, 'f' || p.file_id || '.mkv' AS filename, p.input_size, CASE WHEN p.file_id % 97 <> 0 THEN output_size ELSE 0 END AS output_size,
   duration_secs, elapsed_secs, is_valid, CAST(round(duration_secs * 1000e0) AS BIGINT) AS video_ms, CAST(round(elapsed_secs * 1000e0) AS BIGINT) AS elapsed_ms
   FROM m_probe p JOIN m_output o ON p.file_id = o.file_id JOIN wide w ON p.file_id = w.file_id),
 reduced AS (SELECT *, CASE WHEN input_size = 0 THEN 0e0 ELSE (input_size - output_size) / CAST(input_size AS DOUBLE) * 100e0 END AS reduction_pct, CASE WHEN elapsed_secs > 0 THEN duration_secs / elapsed_secs ELSE 0e0 END AS speed FROM results),
 summary AS (SELECT f.batch, total_files, coalesce(successful, 0) AS successful, coalesce(input_bytes, 0) AS input_bytes, coalesce(output_bytes, 0) AS output_bytes, coalesce(elapsed, 0) AS elapsed_ms, coalesce(video, 0) AS video_ms,
   coalesce(passed, 0) AS passed, coalesce(CASE WHEN elapsed > 0 THEN video / CAST(elapsed AS DOUBLE) END, 0e0) AS avg_speed, coalesce(successful, 0) - coalesce(passed, 0) AS failed, only_name
-  FROM (SELECT file_id % 50 AS batch, count(*) AS total_files FROM m_probe GROUP BY 1) f LEFT JOIN (SELECT batch, count(*) AS successful, CAST(sum(input_size) AS BIGINT) AS input_bytes, CAST(sum(output_size) AS BIGINT) AS output_bytes,
+  FROM (SELECT {BATCH} AS batch, count(*) AS total_files FROM m_probe GROUP BY 1) f LEFT JOIN (SELECT batch, count(*) AS successful, CAST(sum(input_size) AS BIGINT) AS input_bytes, CAST(sum(output_size) AS BIGINT) AS output_bytes,
     CAST(sum(elapsed_ms) AS BIGINT) AS elapsed, CAST(sum(video_ms) AS BIGINT) AS video, count(*) FILTER (WHERE is_valid) AS passed, min(filename) AS only_name FROM results GROUP BY batch) r ON f.batch = r.batch)"""
 
 
@@ -162,7 +191,7 @@ def track_check(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "encode_plan": (plans, sql("m_crop m_track m_audio", f",{PLAN_SQL} SELECT * FROM plan", *TO_DECISION, "audio_lists")),
+    "encode_plan": (plans, sql("m_crop m_track m_audio", f",{PLAN_SQL} SELECT {PLAN_COLUMNS} FROM plan", *TO_DECISION, "audio_lists")),
     "encode_plan_requested": (requested_plans, sql("m_crop m_track m_audio m_request m_asked m_tuning", f",{REQUESTED_SQL} SELECT * FROM plan", *TO_DECISION, "audio_lists")),
     "encode_tasks": (
         lambda s, d: encoding.tasks(plans(s, d), audio.streams(relation(s, d, "m_audio"))),
@@ -191,6 +220,15 @@ UNION ALL SELECT file_id, CAST(n + 1 AS INTEGER), 'mux', NULL, NULL, NULL, array
         batch_status,
         sql("m_file m_probe m_output", f""",{PLANNED_SQL} SELECT f.file_id, CASE WHEN output_path IN (SELECT output_path FROM existing) THEN 'skipped' WHEN p.file_id IS NULL OR p.file_id % 31 = 0 THEN 'analysis_error'
   WHEN o.file_id IS NOT NULL THEN 'encoded' ELSE 'pending' END AS status FROM planned f LEFT JOIN m_probe p ON f.file_id = p.file_id LEFT JOIN m_output o ON f.file_id = o.file_id"""),
+    ),
+    "result_rollup": (
+        rolled_up,
+        sql("m_probe m_crop m_track m_audio m_output m_out_audio m_request m_asked m_tuning", f""",{CHECK_SQL},{RESULTS_SQL},{REQUESTED_SQL.removeprefix(ALL_CROPS_SQL).lstrip(",")},
+asked_results AS (SELECT r.*, category, CASE WHEN p.is_hdr THEN 'HDR' ELSE 'SDR' END AS dynamic_range, upper(s.preset[1]) || s.preset[2:] AS preset FROM reduced r JOIN plan p ON r.file_id = p.file_id JOIN settings s ON r.file_id = s.file_id)
+SELECT CAST(GROUPING(category, dynamic_range, preset) AS BIGINT) AS level, category, dynamic_range, preset, count(*) AS files, count(*) FILTER (WHERE is_valid) AS passed, CAST(sum(input_size) AS BIGINT) AS input_bytes,
+  CAST(sum(output_size) AS BIGINT) AS output_bytes, CASE WHEN sum(input_size) = 0 THEN 0e0 ELSE (CAST(sum(input_size) AS BIGINT) - CAST(sum(output_size) AS BIGINT)) / CAST(CAST(sum(input_size) AS BIGINT) AS DOUBLE) * 100e0 END AS reduction_pct,
+  coalesce(CASE WHEN sum(elapsed_ms) > 0 THEN CAST(sum(video_ms) AS BIGINT) / CAST(CAST(sum(elapsed_ms) AS BIGINT) AS DOUBLE) END, 0e0) AS avg_speed
+FROM asked_results GROUP BY GROUPING SETS ((category, dynamic_range, preset), (category, dynamic_range), (category, preset), (category), (dynamic_range), (preset), ())""", *TO_DECISION, "audio_lists"),
     ),
     "batch_summary": (summarised, _results_sql("SELECT * EXCLUDE (only_name) FROM summary")),
     "batch_result": (

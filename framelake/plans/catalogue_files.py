@@ -92,7 +92,7 @@ JOIN (VALUES ('SD', 0, 1920, 24), ('HD', 1920, 3840, 26), ('UHD', 3840, 21474836
   count(*) OVER (PARTITION BY output_path) AS n FROM videos WINDOW w AS (PARTITION BY output_path ORDER BY lower(name), path, file_id)) WHERE n > 1"""),
     ),
     "batch_position": (
-        lambda s, d: listing.positions(relation(s, d, "m_file")),
+        lambda s, d: listing.positions(relation(s, d, "m_file")).drop("path"),
         sql("m_file", f""",{VIDEO_SQL} SELECT * FROM (SELECT directory, file_id, CAST(row_number() OVER (PARTITION BY directory ORDER BY lower(name), path, file_id) AS INTEGER) AS current_file,
   count(*) OVER (PARTITION BY directory) AS total_files FROM videos) WHERE total_files > 1"""),
     ),

@@ -1,14 +1,23 @@
 """Edge values of the catalogue's rules."""
 
+import dataclasses
 import math
 import os
+import random
+import subprocess
+import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions import exprs as X
-from framelake.operators import audio, config, crop, encoding, hdr, listing, numbering, results, validation
-from framelake.sources import documents, files, tables
+from framelake.operators import audio, config, crop, encoding, events, hdr, listing, numbering, options, results, validation
+from framelake.plans import catalogue_encode, registry
+from framelake.plans.relations import relation
+from framelake.sources import documents, facts, files, tables
+
+SF = "/root/testdata/sf0.001"
 
 
 def value(spark, column):
@@ -147,18 +156,38 @@ def test_status_and_outcome(spark):
 
 
 def test_listing_a_directory(spark, tmp_path):
-    for name in ("b.MKV", "A.mp4", ".hidden.mkv", "notes.txt", "none"):
+    for name in ("b.MKV", "A.mp4", ".hidden.mkv", "_c.ogv", "notes.txt", "none", "mkv"):
         (tmp_path / name).write_bytes(b"x" * 5)
+    os.utime(tmp_path / "b.MKV", (1_700_000_000.5, 1_700_000_000.5))
     (tmp_path / "inner").mkdir()
+    (tmp_path / "inner.mkv").mkdir()
     (tmp_path / "inner" / "deep.mkv").write_bytes(b"x")
-    got = files.list_directory(spark, str(tmp_path)).collect()
-    assert [r["path"].rsplit("/", 1)[1] for r in got] == ["A.mp4", "b.MKV"] and got[0]["length"] == 5
+    df = files.list_directory(spark, str(tmp_path))
+    got = df.collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in got] == ["_c.ogv", "A.mp4", "b.MKV"] and got[0]["length"] == 5
+    assert df.where("path like '%b.MKV'").select(F.unix_millis("modificationTime")).first()[0] == 1_700_000_000_500
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [("path", "string"), ("length", "bigint"), ("modificationTime", "timestamp")]
     with pytest.raises(FileNotFoundError):
         files.list_directory(spark, str(tmp_path / "inner2" if (tmp_path / "inner2").mkdir() else tmp_path / "inner2"))
     (tmp_path / "log").write_bytes(b"frame=1 a\rframe=2 b\nc\r\nd")
     assert [r["line"] for r in files.read_lines(spark, str(tmp_path / "log")).collect()] == ["frame=1 a", "frame=2 b", "c", "d"]
 
 
+def test_directories_are_listed_by_tasks(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"d{k}").mkdir()
+        for i in range(k % 4):
+            (tmp_path / f"d{k}" / f"_v{i}.mkv").write_bytes(b"x" * k)
+    paths = [str(tmp_path / f"d{k}") for k in range(29)] + [f"file://{tmp_path}/d29"]
+    df = files.list_directories(spark, paths, tasks=7)
+    assert df.rdd.getNumPartitions() == 7 and sum(r["length"] for r in df.collect()) == sum(k * (k % 4) for k in range(30)) and df.count() == sum(k % 4 for k in range(30))
+    assert files.list_directories(spark, paths[:1]).count() == 0
+    with pytest.raises(Exception, match="nowhere"):
+        files.list_directories(spark, [str(tmp_path / "nowhere")]).collect()
+    with pytest.raises(Exception, match="option path or directories"):
+        spark.read.format("media_listing").load().collect()
+
+
 def test_documents_fail_as_a_whole(spark):
     docs = [(1, '{"format": {"duration": "1.5"}, "streams": [{"codec_type": "video", "width": 10, "height": 4}]}'), (2, '{"format": {}, "streams": ['), (3, '{"streams": [{"codec_type": "video", "width": "10"}]}'), (4, "")]
     got = {r["file_id"]: r["failed"] for r in documents.probe_documents(spark.createDataFrame(docs, "file_id int, doc string")).collect()}
@@ -199,3 +228,154 @@ def test_numbers_go_on_between_ranges(spark):
     for g in {r["g"] for r in got}:
         mine = sorted((r["x"], r["position"], r["in_group"]) for r in got if r["g"] == g)
         assert [p for _, p, _ in mine] == list(range(1, len(mine) + 1)) and {n for *_, n in mine} == {len(mine)}
+
+
+def plain_scan(rows):
+    """Run numbers and the largest value of the run before each row, job by job."""
+    out = {}
+    for job in {r[0] for r in rows}:
+        run, most = 0, None
+        for _, at, start, value in sorted((r for r in rows if r[0] == job), key=lambda r: r[1]):
+            if start:
+                run, most = run + 1, None
+            out[job, at] = (run, most)
+            if value is not None:
+                most = value if most is None else max(most, value)
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_scan_of_runs_goes_on_between_ranges(spark, ranges):
+    """One job has nine tenths of the rows; others, and the null job, are small; runs are longer and shorter than ranges."""
+    rng = random.Random(ranges)
+    rows = [(7 if rng.random() < 0.9 else rng.choice([1, 2, None]), k, rng.random() < (0.001 if k < 2000 else 0.3), rng.choice([None, rng.randrange(100)])) for k in range(4000)]
+    df = spark.createDataFrame(rows, "job int, at int, start boolean, value int").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = numbering.scan_runs(df, "job", ["at"], F.col("start"), F.col("value"))
+        assert got.columns == [*df.columns, "run_no", "before"]
+        assert {(r["job"], r["at"]): (r["run_no"], r["before"]) for r in got.collect()} == plain_scan(rows)
+        dealt = numbering.in_ranges(df, "job", ["at"])
+        largest = max(r["count"] for r in dealt.groupBy("job", numbering.RANGE).count().collect())
+        assert largest <= 1.6 * 4000 / ranges
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    assert numbering.scan_runs(df.limit(0), "job", ["at"], F.col("start")).count() == 0
+
+
+def test_outputs_of_many_files(spark):
+    """Nine tenths of the files share one name, each in a directory of its own."""
+    rows = [(k, f"/d{k:03d}/{'same' if k % 10 else f'own{k}'}.mkv", 1) for k in range(400)] + [(1000, "/d0/OWN10.mkv", 1), (1001, "/a/x.txt", 1)]
+    got = {r["file_id"]: (r["output_path"], r["rn"], r["blocked_by"]) for r in listing.collisions(spark.createDataFrame(rows, "file_id int, path string, length int")).collect()}
+    want = {k: ("/out/same.mkv", i + 1, 1 if i else None) for i, k in enumerate(k for k in range(400) if k % 10)}
+    assert got == want
+
+
+def test_intermediate_tables_have_one_folder_and_go(spark):
+    a, b = tables.materialize(spark.range(3), "a"), tables.materialize(spark.range(4), "b")
+    top = {f.split("/tables-")[1].split("/")[0] for t in (a, b) for f in t.inputFiles()}
+    assert top == {spark.sparkContext.applicationId}
+    where = [os.path.dirname(t.inputFiles()[0].removeprefix("file://")) for t in (a, b)]
+    tables.release(a)
+    assert not os.path.exists(where[0]) and os.path.exists(where[1]) and b.count() == 4
+
+
+def test_folder_goes_with_the_driver(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+from pyspark.sql import SparkSession
+from framelake.sources import tables
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path}").getOrCreate()
+print(tables.materialize(s.range(3), "a").count())
+s.stop()
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    for _ in range(50):
+        left = [f for f in os.listdir(tmp_path) if f.startswith("tables-")]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert out.stdout.split()[-1] == "3" and not left
+
+
+FACTS = ("m_probe", "m_track", "m_audio", "m_out_audio", "m_crop", "m_output")
+
+
+def test_bucketed_facts_need_no_shuffle_by_file(spark):
+    facts.write_facts({n: relation(spark, SF, n) for n in FACTS}, buckets=4)
+    rel = facts.reader(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        read = {
+            "encode_plan": catalogue_encode.plans(spark, SF, rel), "validation_steps": validation.steps(catalogue_encode.checked(spark, SF, rel)),
+            "validation_wide": validation.wide(catalogue_encode.checked(spark, SF, rel)), "batch_summary": catalogue_encode.summarised(spark, SF, rel=rel), "encode_results": catalogue_encode.encoded(spark, SF, rel=rel),
+        }
+        for name, df in read.items():
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(file_id" not in plan and "Bucketed: true" in plan, name
+            assert plan.count("Exchange") == (2 if name == "batch_summary" else 0), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for name, df in read.items():
+        assert sorted(map(repr, df.collect())) == sorted(map(repr, registry.queries()[name](spark, SF).select(*df.columns).collect())), name
+    facts.write_facts({"m_probe": relation(spark, SF, "m_probe").limit(5)}, buckets=2)
+    assert rel("m_probe").count() == 5
+
+
+def test_sums_of_a_write_equal_the_summary(spark, tmp_path):
+    done = catalogue_encode.encoded(spark, SF)
+    got = results.write_results(done, str(tmp_path))
+    whole = done.withColumn("batch", F.lit(1))
+    want = results.summary(whole, whole).first().asDict()
+    assert got == {k: want[k] for k in ("successful", "input_bytes", "output_bytes", "elapsed_ms", "video_ms", "passed")} and got["successful"] > 1000
+    assert spark.read.parquet(str(tmp_path / "encode_results")).count() == got["successful"]
+    assert set(results.write_results(done.limit(0), str(tmp_path), "none").values()) == {0}
+
+
+def test_rollup_of_null_and_empty_facts(spark):
+    kinds = "file_id int, category string, dynamic_range string, preset string, is_valid boolean, input_size bigint, output_size bigint, elapsed_ms bigint, video_ms bigint"
+    rows = [(1, "SD", "SDR", "Grain", True, 100, 50, 10, 20), (2, "SD", None, "Grain", False, 0, 0, 0, 0), (3, None, "HDR", "Quick", None, 10, 20, 5, 5)]
+    got = {(r["level"], r["category"], r["dynamic_range"], r["preset"]): (r["files"], r["passed"], r["reduction_pct"], r["avg_speed"]) for r in results.rollup(spark.createDataFrame(rows, kinds)).collect()}
+    assert got[7, None, None, None] == (3, 1, pytest.approx(100 * 40 / 110), 25 / 15) and got[3, "SD", None, None] == (2, 1, 50.0, 2.0) and got[3, None, None, None] == (1, 0, -100.0, 1.0)
+    assert got[0, "SD", None, "Grain"] == (1, 0, 0.0, 0.0) and len(got) == 3 + 3 + 2 + 2 + 3 + 2 + 1
+    assert results.rollup(spark.createDataFrame([], kinds)).collect() == []
+
+
+def test_options_are_one_value(spark):
+    plain = options.EncodeOptions().resolved(spark)
+    assert (plain["preset"], plain["crf_sd"], plain["crf_hd"], plain["crf_uhd"], plain["encoder_preset"], plain["ac_bias"], plain["crop"], plain["responsive"]) == ("grain", 24, 26, 26, 6, "0.1", True, False)
+    o = options.EncodeOptions(crf="20,21,22", encoder_preset=0, film_grain=8, film_grain_denoise=False, responsive=True).having(preset="Quick", crf_hd=63, crop=False)
+    got = o.resolved(spark)
+    assert {k: got[k] for k in ("preset", "crf_sd", "crf_hd", "crf_uhd", "encoder_preset", "film_grain", "film_grain_denoise", "crop", "responsive")} == {
+        "preset": "quick", "crf_sd": 20, "crf_hd": 63, "crf_uhd": 22, "encoder_preset": 0, "film_grain": 8, "film_grain_denoise": False, "crop": False, "responsive": True
+    }
+    assert options.EncodeOptions(preset="clean", crf="99").resolved(spark)["crf_sd"] == 27  # one that can't be read is ignored
+    wrong = {"unknown_preset": {"preset": "it's \\ none"}, "crf_uhd_range": {"crf_uhd": 64}, "crf_sd_range": {"crf_sd": -1}, "encoder_preset_range": {"encoder_preset": 14}, "denoise_without_grain": {"film_grain_denoise": True}}
+    for code, given in wrong.items():
+        with pytest.raises(options.OptionError) as e:
+            options.EncodeOptions(**given).resolved(spark)
+        assert e.value.code == code and options.EncodeOptions(**given).frame(spark).count() == 1
+    with pytest.raises(dataclasses.FrozenInstanceError):
+        o.crf = "1"
+
+
+def test_options_shape_the_plan(spark):
+    tables_ = [relation(spark, SF, n).where("file_id < 400") for n in ("m_probe", "m_track", "m_crop", "m_audio")]
+    o = options.EncodeOptions(preset="quick", film_grain=4, crop=False)
+    got = encoding.described(*tables_, options=o).collect()
+    assert got and all((r["crop_filter"], r["crop_message"], r["crop_disabled"], r["preset_label"]) == ("", "Skipped", True, "Quick") and r["crf"] in (32, 35, 36) and "film-grain=4" in r["svt_params"] for r in got)
+    lines = [r["message"] for r in events.plan_lines(encoding.described(*tables_, options=o)).collect()]
+    assert lines.count("Crop detection: disabled") == len(got) == lines.count("Profile: Quick")
+
+
+def test_files_of_one_request_stay_spread(spark, monkeypatch):
+    files_ = spark.range(500).selectExpr("id as file_id", "if(id % 10 = 0, cast(id as int), 3) as request_id")
+    requests = spark.createDataFrame([(i, "clean" if i % 2 else "ultra", None, None, None, None) for i in range(0, 500)], "request_id int, preset_name string, crf_spec string, encoder_preset int, film_grain int, film_grain_denoise boolean")
+    tuning = spark.createDataFrame([], "request_id int, variance_boost boolean, boost_strength int, boost_octile int, denoise_filter string")
+    found = sorted(map(tuple, encoding.file_settings(files_, requests, tuning).collect()))
+    assert len(found) == 450
+    monkeypatch.setattr(encoding, "BROADCAST_REQUESTS", 10)
+    assert sorted(map(tuple, encoding.file_settings(files_, requests, tuning).collect())) == found
