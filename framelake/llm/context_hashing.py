@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 
 #: A text is cut where a hash of the last WINDOW bytes ends in `level` zero bits; the level is the least from LEAST_LEVEL on
-#: at which there are no more than PIECES pieces. Above TOP_LEVEL nothing is cut.
-WINDOW, LEAST_LEVEL, TOP_LEVEL, PIECES = 7, 2, 32, 64
+#: at which there are no more than PIECES pieces. Above TOP_LEVEL nothing is cut. SIGNATURES levels are kept, from this one on.
+WINDOW, LEAST_LEVEL, TOP_LEVEL, PIECES, SIGNATURES = 7, 2, 32, 128, 3
 #: Bytes hashed at once, and cuts held before the level goes up.
 STEP, HELD = 1 << 16, 4096
 BASE, MIX = 0x01000193, 0x2C1B3C6D
@@ -79,14 +79,15 @@ def _signature(data: bytes, at: np.ndarray) -> str:
 
 
 def fingerprint(text: str) -> str:
-    """`level:signature:signature of the next level`, two characters for each piece; an empty text's is `0::`.
+    """The level, and the signatures of it and the next ones, with colons between; two characters for each piece. That of an
+    empty text is `0:::`.
 
     All bytes of the text are hashed, in blocks; at most HELD cuts are held at any length, whatever the text repeats.
     """
     data = text.encode("utf-8", "surrogatepass")
     n = len(data)
     if not n:
-        return "0::"
+        return ":".join(["0"] + [""] * SIGNATURES)
     bytes_ = np.frombuffer(data, np.uint8)
     at, value, level = _scan(bytes_, max(LEAST_LEVEL, (n // PIECES).bit_length() - 3), HELD)
     if _pieces(at, n) > PIECES:
@@ -99,7 +100,11 @@ def fingerprint(text: str) -> str:
             if reached > level - 1 or _pieces(lower, n) > PIECES:
                 break
             at, value, level = lower, low_value, level - 1
-    return f"{level}:{_signature(data, at)}:{_signature(data, _raised(at, value, level + 1)[0])}"
+    out = [str(level)]
+    for k in range(SIGNATURES):
+        out.append(_signature(data, at))
+        at, value = _raised(at, value, level + k + 1)
+    return ":".join(out)
 
 
 def _edits(a: list[str], b: list[str]) -> int:
@@ -122,15 +127,15 @@ def _edits(a: list[str], b: list[str]) -> int:
 
 
 def likeness(a: str, b: str) -> float:
-    """1 less the edit distance of both signatures of one level, as a share of the longer one; 1 for equal fingerprints, 0 if
-    the levels are more than one apart, so that no signature has the pieces of the other, or if one text alone is empty."""
+    """1 less the edit distance of both signatures of the lowest level that both have, as a share of the longer one; 1 for equal
+    fingerprints, 0 if the levels are so far apart that there is none, or if one text alone is empty."""
     if a == b:
         return 1.0
     (la, *sa), (lb, *sb) = a.split(":"), b.split(":")
     shift = int(la) - int(lb)
-    if abs(shift) > 1 or not sa[0] or not sb[0]:
+    if abs(shift) >= SIGNATURES or not sa[0] or not sb[0]:
         return 0.0
-    x, y = sa[1 if shift < 0 else 0], sb[1 if shift > 0 else 0]
+    x, y = sa[max(0, -shift)], sb[max(0, shift)]
     x, y = [x[i : i + 2] for i in range(0, len(x), 2)], [y[i : i + 2] for i in range(0, len(y), 2)]
     return 1.0 - _edits(x, y) / max(len(x), len(y))
 

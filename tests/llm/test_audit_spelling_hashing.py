@@ -173,8 +173,8 @@ def plain_fingerprint(text):
         crcs = [zlib.crc32(data[a:b]) % 4096 for a, b in zip([0, *cuts], cuts)]
         return "".join(ch.DIGITS[c // 64] + ch.DIGITS[c % 64] for c in crcs)
 
-    level = next((k for k in range(2, 34) if len(ends(k)) <= 64), 33)
-    return f"{level}:{signature(ends(level))}:{signature(ends(level + 1))}" if data else "0::"
+    level = next((k for k in range(2, 34) if len(ends(k)) <= 128), 33)
+    return ":".join([str(level), *[signature(ends(level + k)) for k in range(3)]]) if data else "0:::"
 
 
 def test_fingerprints_equal_a_plain_version():
@@ -183,19 +183,20 @@ def test_fingerprints_equal_a_plain_version():
     texts = ["", "a", "ab", "中文 🤦", "x" * 5000, "ab" * 40_000, "line of text\n" * 9000, *[prose(n) for n in (1, 3, 10, 40, 100, 300, 1000, 5000, 30_000)], prose(2000) + "\0" * 90_000]
     for t in texts:
         assert ch.fingerprint(t) == plain_fingerprint(t)
-        assert len(ch.fingerprint(t)) <= 4 * ch.PIECES + 8
+        assert len(ch.fingerprint(t)) <= 2 * 3 * ch.PIECES + 8
 
 
 def test_edit_distance_and_likeness():
     rng = random.Random(4)
     for _ in range(300):
-        a, b = ([rng.choice("abc") for _ in range(rng.randrange(0, 65))] for _ in range(2))
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(0, 129))] for _ in range(2))
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
             row = _next(row, i, x, b)
         assert ch._edits(a, b) == row[-1]
-    assert ch.likeness("0::", "0::") == 1 and ch.likeness("0::", "3:AA:AA") == 0 and ch.likeness("3:AABB:AA", "5:AABB:AA") == 0
-    assert ch.likeness("3:AABB:AACC", "4:AADD:AA") == 0.5 == ch.likeness("4:AADD:AA", "3:AABB:AACC")
+    assert ch.likeness("0:::", "0:::") == 1 and ch.likeness("0:::", "3:AA:AA:AA") == 0 and ch.likeness("3:AABB:AA:AA", "6:AABB:AA:AA") == 0
+    assert ch.likeness("3:AABB:AACC:EE", "4:AADD:AA:FF") == 0.5 == ch.likeness("4:AADD:AA:FF", "3:AABB:AACC:EE")
+    assert ch.likeness("3:AABB:AACC:EEFF", "5:EEGGHHII:AA:FF") == 0.25 == ch.likeness("5:EEGGHHII:AA:FF", "3:AABB:AACC:EEFF")
 
 
 def _next(row, i, x, b):
@@ -244,5 +245,5 @@ def test_neighbours_of_odd_rows(spark, odd_docs):
 def test_edits_are_seen_and_strangers_are_not(spark):
     rows = ch.compare_neighbours(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     long = [r for r in rows if r["n_chars"] > 300]
-    assert sum(r["near_edited"] >= 0.25 for r in long) > 0.97 * len(long)
+    assert sum(r["near_edited"] >= 0.25 for r in long) > 0.98 * len(long)
     assert sum(r["near_next"] > 0.2 for r in long) < 0.1 * len(long)
