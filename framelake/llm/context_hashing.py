@@ -194,7 +194,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     order = ["doc_id", "__order", "__place"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("doc_id").cast("string"), "text")
-    found = materialize(dealt.mapInPandas(_along, RESULT.format(id="string") + ", " + SEAM), "context-hashes")
+    found = materialize(dealt.mapInPandas(_along, RESULT.format(id="string") + ", " + SEAM), "context-hashes", codec="zstd")
     heads = found.where("seam = 'head'").select("part", F.col("text").alias("after"), F.col("fingerprint").alias("after_fp"))
     tails = found.where("seam = 'tail'").select("part", "doc_id", "text", "fingerprint")
     # One number for each range.

@@ -62,11 +62,12 @@ def app_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, so lost executors cost no rerun."""
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, so lost executors cost no rerun.
+    codec: the compression, the session's if it is None."""
     spark = df.sparkSession
     path = f"{app_dir(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
