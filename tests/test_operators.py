@@ -4,6 +4,7 @@ import dataclasses
 import math
 import os
 import random
+import re
 import subprocess
 import sys
 import time
@@ -379,3 +380,26 @@ def test_files_of_one_request_stay_spread(spark, monkeypatch):
     assert len(found) == 450
     monkeypatch.setattr(encoding, "BROADCAST_REQUESTS", 10)
     assert sorted(map(tuple, encoding.file_settings(files_, requests, tuning).collect())) == found
+
+
+DEALT_QUERIES = ["crop_detection", "crop_sample_mode", "crop_decision", "audio_streams", "crop_candidates", "crop_top10", "audio_channels", "audio_description", "encode_tasks"]
+
+
+@pytest.mark.parametrize("name", DEALT_QUERIES)
+def test_parts_grow_in_number_not_in_size(spark, monkeypatch, name):
+    """The largest table is dealt by its key before anything sorts or counts it, to parts of so many rows."""
+    want = sorted(map(repr, registry.queries()[name](spark, SF).collect()))
+    monkeypatch.setattr(tables, "PART_ROWS", 500)
+    df = registry.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert dealt and {int(n) for n in dealt} == {-(-rows // 500)}
+    assert sorted(map(repr, df.collect())) == want
+
+
+def test_crops_of_four_numbers_only(spark):
+    crops = ["10:20:0:4", "010:20:0:4", "10:20:0", "10:20:0:4:1", "x:1:2", "10:20:-1:4", "10:20:0:4\n", "99999999999:20:0:4", "4294967296:20:0:4"]
+    got = [tuple(r)[1:] for r in crop._with_numbers(spark.createDataFrame([(c,) for c in crops], "crop string")).select("crop", "w", "h", "x", "y").collect()]
+    none = (None,) * 4
+    assert got == [(10, 20, 0, 4), (10, 20, 0, 4), none, none, none, none, none, none, (None, 20, 0, 4)]
