@@ -403,3 +403,12 @@ def test_crops_of_four_numbers_only(spark):
     got = [tuple(r)[1:] for r in crop._with_numbers(spark.createDataFrame([(c,) for c in crops], "crop string")).select("crop", "w", "h", "x", "y").collect()]
     none = (None,) * 4
     assert got == [(10, 20, 0, 4), (10, 20, 0, 4), none, none, none, none, none, none, (None, 20, 0, 4)]
+
+
+def test_tasks_read_plans_and_streams_once(spark):
+    plans = spark.createDataFrame([(1,), (2,)], "file_id int")
+    streams = spark.createDataFrame([(1, 1, 128, "0"), (1, 0, 64, "default"), (3, 0, 64, "0")], "file_id int, audio_index int, bitrate_kbps bigint, disposition string")
+    df = encoding.tasks(plans, streams)
+    want = [(1, 0, "video", None, None, None, ""), (1, 1, "audio", 0, 64, "default", ""), (1, 2, "audio", 1, 128, "0", ""), (1, 3, "mux", None, None, None, "0,1,2"), (2, 0, "video", None, None, None, ""), (2, 1, "mux", None, None, None, "0")]
+    assert sorted(map(tuple, df.collect()), key=lambda r: r[:2]) == want
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
