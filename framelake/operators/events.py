@@ -50,9 +50,12 @@ def epoch(ts: Column) -> Column:
     return (ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("interval second").cast("bigint")
 
 
-def event(df: DataFrame, kind: str | Column, subject: str, **payload: Column) -> DataFrame:
-    """An event of each row of df (with ts_epoch): type, ts_epoch, subject, payload."""
+def event(df: DataFrame, kind: str | Column, subject: str, wide: bool = False, **payload: Column) -> DataFrame:
+    """An event of each row of df (with ts_epoch): type, ts_epoch, subject, payload; as `flat` has it if `wide`, with nothing packed."""
     kinds = fields()
+    if wide:
+        laid = [payload.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]
+        return df.select((F.lit(kind) if isinstance(kind, str) else kind).alias("type"), F.col("ts_epoch").cast("bigint").alias("ts_epoch"), F.col(subject).cast("bigint").alias("subject"), *laid)
     packed = F.to_variant_object(F.struct(*[v.cast(kinds[k]).alias(k) for k, v in payload.items()]))
     return df.select((F.lit(kind) if isinstance(kind, str) else kind).alias("type"), F.col("ts_epoch").cast("bigint").alias("ts_epoch"), F.col(subject).cast("bigint").alias("subject"), packed.alias("payload"))
 
@@ -93,15 +96,17 @@ def out_path(file_id: Column, out_dir: str) -> Column:
     return F.concat(F.lit(f"{out_dir}/"), file_name(file_id))
 
 
-def plan_events(plans: DataFrame) -> DataFrame:
+def plan_events(plans: DataFrame, wide: bool = False) -> DataFrame:
     """initialization, crop_result, encoding_config and stage_progress of each planned file (encoding.described, with
-    ts_epoch), in one pass over the plans."""
+    ts_epoch), in one pass over the plans; four if `wide`."""
     c, kinds = F.col, fields()
 
-    def one(kind: str, **payload: Column) -> Column:
+    def one(kind: str, **payload: Column) -> Column | DataFrame:
+        if wide:
+            return event(plans, kind, "file_id", wide, **payload)
         return F.struct(F.lit(kind).alias("type"), F.to_variant_object(F.struct(*[v.cast(kinds[k]).alias(k) for k, v in payload.items()])).alias("payload"))
 
-    each = F.array(
+    each = [
         one(
             "initialization", input_file=file_name(c("file_id")), output_file=file_name(c("file_id")), duration=c("duration"), resolution=c("resolution"), category=c("category"),
             dynamic_range=c("dynamic_range"), audio_description=c("audio_description"),
@@ -113,8 +118,10 @@ def plan_events(plans: DataFrame) -> DataFrame:
             preset_label=c("preset_label"), preset_settings=c("settings"), svt_params=c("svt_params"),
         ),
         one("stage_progress", stage=F.lit("planning"), percent=F.lit(100.0), message=planned_text()),
-    )
-    return plans.select("ts_epoch", c("file_id").cast("bigint").alias("subject"), F.explode(each).alias("e")).select("e.type", "ts_epoch", "subject", "e.payload")
+    ]
+    if wide:
+        return union(each)
+    return plans.select("ts_epoch", c("file_id").cast("bigint").alias("subject"), F.explode(F.array(*each)).alias("e")).select("e.type", "ts_epoch", "subject", "e.payload")
 
 
 def planned_text() -> Column:
@@ -122,17 +129,17 @@ def planned_text() -> Column:
     return F.concat(X.text(F.col("n_streams") + 2), F.lit(" encode tasks"))
 
 
-def progress_events(parsed: DataFrame) -> DataFrame:
+def progress_events(parsed: DataFrame, wide: bool = False) -> DataFrame:
     """encoding_progress of parsed lines (progress.parse_lines, with event_id and ts)."""
     df = parsed.withColumn("ts_epoch", epoch(F.col("ts")))
-    return event(df, "encoding_progress", "event_id", percent=F.col("percent"), speed=F.col("speed"), fps=F.col("fps"), eta_seconds=F.col("eta"))
+    return event(df, "encoding_progress", "event_id", wide, percent=F.col("percent"), speed=F.col("speed"), fps=F.col("fps"), eta_seconds=F.col("eta"))
 
 
-def job_events(progress: DataFrame, jobs: DataFrame) -> DataFrame:
+def job_events(progress: DataFrame, jobs: DataFrame, wide: bool = False) -> DataFrame:
     """encoding_started (with its job's frames, 0 if unknown) and error of a progress table."""
     df = progress.withColumn("ts_epoch", epoch(F.col("ts")))
     started = df.where("kind = 'encoding_started'").join(jobs.select("job_id", "total_frames"), "job_id", "left")
-    return union([event(started, "encoding_started", "event_id", total_frames=F.coalesce("total_frames", F.lit(0))), event(df.where("kind = 'error'"), "error", "event_id", **_job_error())])
+    return union([event(started, "encoding_started", "event_id", wide, total_frames=F.coalesce("total_frames", F.lit(0))), event(df.where("kind = 'error'"), "error", "event_id", wide, **_job_error())])
 
 
 def _job_error() -> dict[str, Column]:
@@ -145,46 +152,46 @@ def _reject_error() -> dict[str, Column]:
     return {"title": F.col("title"), "message": F.concat(F.lit("Could not analyze "), name, F.lit(": "), F.col("error_reason")), "context": F.concat(F.lit("File: "), name), "suggestion": F.col("suggestion")}
 
 
-def reject_events(rejects: DataFrame) -> DataFrame:
+def reject_events(rejects: DataFrame, wide: bool = False) -> DataFrame:
     """error of each document that can't be used (probe.rejects, with ts_epoch)."""
-    return event(rejects, "error", "file_id", **_reject_error())
+    return event(rejects, "error", "file_id", wide, **_reject_error())
 
 
-def skip_events(skipped: DataFrame) -> DataFrame:
+def skip_events(skipped: DataFrame, wide: bool = False) -> DataFrame:
     """warning of each file whose output is there (listing.skipped, with ts_epoch)."""
-    return event(skipped, "warning", "file_id", message=F.col("message"))
+    return event(skipped, "warning", "file_id", wide, message=F.col("message"))
 
 
-def position_events(positions: DataFrame) -> DataFrame:
+def position_events(positions: DataFrame, wide: bool = False) -> DataFrame:
     """file_progress of each file of a batch of several (listing.positions, with ts_epoch)."""
-    return event(positions, "file_progress", "file_id", current_file=F.col("current_file"), total_files=F.col("total_files"))
+    return event(positions, "file_progress", "file_id", wide, current_file=F.col("current_file"), total_files=F.col("total_files"))
 
 
-def validation_events(checked: DataFrame) -> DataFrame:
+def validation_events(checked: DataFrame, wide: bool = False) -> DataFrame:
     """validation_complete of each checked file (validation.check, with ts_epoch)."""
     steps = F.transform("steps", lambda s: F.struct(s["name"].alias("step"), s["passed"].alias("passed"), s["details"].alias("details")))
-    return event(checked, "validation_complete", "file_id", validation_passed=F.col("is_valid"), validation_steps=steps)
+    return event(checked, "validation_complete", "file_id", wide, validation_passed=F.col("is_valid"), validation_steps=steps)
 
 
-def result_events(results: DataFrame) -> DataFrame:
+def result_events(results: DataFrame, wide: bool = False) -> DataFrame:
     """encoding_complete of each result (with ts_epoch)."""
     c = F.col
-    return event(results, "encoding_complete", "file_id", output_file=file_name(c("file_id")), original_size=c("input_size"), encoded_size=c("output_size"), size_reduction_percent=c("reduction_pct"))
+    return event(results, "encoding_complete", "file_id", wide, output_file=file_name(c("file_id")), original_size=c("input_size"), encoded_size=c("output_size"), size_reduction_percent=c("reduction_pct"))
 
 
 def outcome_kind(n: Column) -> Column:
     return F.when(n == 0, "warning").when(n == 1, "operation_complete").otherwise("batch_complete")
 
 
-def batch_events(summary: DataFrame, out_dir: str) -> DataFrame:
+def batch_events(summary: DataFrame, out_dir: str, wide: bool = False) -> DataFrame:
     """batch_started of batches of several files; batch_complete of those with several results, else what stands for it
     (results.summary, with only_name and ts_epoch)."""
     c, n = F.col, F.col("successful")
-    begun = event(summary.where("total_files > 1"), "batch_started", "batch", total_files=c("total_files"), output_dir=F.lit(out_dir))
+    begun = event(summary.where("total_files > 1"), "batch_started", "batch", wide, total_files=c("total_files"), output_dir=F.lit(out_dir))
     done = event(
-        summary.where(n > 1), "batch_complete", "batch", successful_count=n, total_files=c("total_files"), total_size_reduction_percent=X.size_reduction(c("input_bytes"), c("output_bytes"))
+        summary.where(n > 1), "batch_complete", "batch", wide, successful_count=n, total_files=c("total_files"), total_size_reduction_percent=X.size_reduction(c("input_bytes"), c("output_bytes"))
     )
-    return union([begun, done, event(summary.where(n <= 1), outcome_kind(n), "batch", message=outcome_text())])
+    return union([begun, done, event(summary.where(n <= 1), outcome_kind(n), "batch", wide, message=outcome_text())])
 
 
 def outcome_text() -> Column:

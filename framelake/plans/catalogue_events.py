@@ -114,35 +114,46 @@ lines AS (
   UNION ALL SELECT 'crop/' || file_id, 11, 'DEBUG', '  ... and ' || greatest(n - 10, 0) || ' more' FROM ranked WHERE k = 10)"""
 
 
-def _seen(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    """What events and lines are made of; what several of them read is written once."""
-    made = {"plans": materialize(described(s, d), "described"), "check": materialize(checked(s, d), "checked")}
+def _seen(s: SparkSession, d: str, planned: bool = True) -> dict[str, DataFrame]:
+    """What events and lines are made of; what several of them read is written once. Without `planned`, neither plans nor
+    positions are made."""
+    made = {"check": materialize(checked(s, d), "checked")}
     done = materialize(batched(encoded(s, d, made["check"])), "results")
-    planned = listing.with_output(relation(s, d, "m_file"))
-    existing = planned.where("file_id % 5 = 0").select("output_path").distinct()
+    files = listing.with_output(relation(s, d, "m_file"))
+    existing = files.where("file_id % 5 = 0").select("output_path").distinct()
+    if planned:
+        made |= {"plans": materialize(described(s, d), "described"), "positions": listing.positions(relation(s, d, "m_file"))}
     return made | {
         "done": done, "summary": materialize(results.with_only(summarised(s, d, done), done), "summary"), "parsed": progress.parse_lines(relation(s, d, "m_line")), "progress": relation(s, d, "m_progress"), "jobs": jobs(s, d),
-        "rejects": probe.rejects(decoded(s, d)), "skipped": listing.skipped(planned, existing), "positions": listing.positions(relation(s, d, "m_file")),
+        "rejects": probe.rejects(decoded(s, d)), "skipped": listing.skipped(files, existing),
     }
 
 
-def full_log(s: SparkSession, d: str) -> DataFrame:
-    """All kinds of events, as type, ts_epoch, subject and payload. Results carry no time of their own; theirs is SECOND plus their number."""
-    x = _seen(s, d)
+def full_log(s: SparkSession, d: str, wide: bool = False, planned: bool = True) -> DataFrame:
+    """All kinds of events, as type, ts_epoch, subject and payload, or as events.flat has them if `wide`; those of plans and
+    positions only if `planned`. Results carry no time of their own; theirs is SECOND plus their number."""
+    x = _seen(s, d, planned)
     at = lambda df, key="file_id": df.withColumn("ts_epoch", F.lit(SECOND) + F.col(key))
     parts = [
-        events.plan_events(at(x["plans"])), events.progress_events(x["parsed"]), events.job_events(x["progress"], x["jobs"]), events.reject_events(at(x["rejects"])), events.skip_events(at(x["skipped"])), events.position_events(at(x["positions"])),
-        events.validation_events(at(x["check"])), events.result_events(at(x["done"])), events.batch_events(at(x["summary"], "batch"), OUT),
+        events.progress_events(x["parsed"], wide), events.job_events(x["progress"], x["jobs"], wide), events.reject_events(at(x["rejects"]), wide), events.skip_events(at(x["skipped"]), wide),
+        events.validation_events(at(x["check"]), wide), events.result_events(at(x["done"]), wide), events.batch_events(at(x["summary"], "batch"), OUT, wide),
     ]
+    if planned:
+        parts += [events.plan_events(at(x["plans"]), wide), events.position_events(at(x["positions"]), wide)]
     return events.union(parts)
 
 
 def _shown(log: DataFrame) -> DataFrame:
-    return events.flat(log).withColumn("validation_steps", F.to_json("validation_steps"))
+    return log.withColumn("validation_steps", F.to_json("validation_steps"))
 
 
 def event_log(s: SparkSession, d: str) -> DataFrame:
-    return _shown(full_log(s, d))
+    return _shown(full_log(s, d, wide=True))
+
+
+def events_forwarded(s: SparkSession, d: str) -> DataFrame:
+    """The kinds that callers get to see; no plan or position is one of them, so those aren't made."""
+    return _shown(events.forwarded(full_log(s, d, wide=True, planned=False)))
 
 
 def log_lines(s: SparkSession, d: str) -> DataFrame:
@@ -199,7 +210,7 @@ QUERIES = {
     ),
     "event_log": (event_log, _events_sql(f"{LOG_SQL} SELECT * FROM log")),
     "events_forwarded": (
-        lambda s, d: _shown(events.forwarded(full_log(s, d))),
+        events_forwarded,
         _events_sql(f"{LOG_SQL} SELECT * FROM log WHERE type IN ('encoding_progress', 'validation_complete', 'encoding_complete', 'warning', 'error', 'batch_complete')"),
     ),
     "log_written": (

@@ -412,3 +412,10 @@ def test_tasks_read_plans_and_streams_once(spark):
     want = [(1, 0, "video", None, None, None, ""), (1, 1, "audio", 0, 64, "default", ""), (1, 2, "audio", 1, 128, "0", ""), (1, 3, "mux", None, None, None, "0,1,2"), (2, 0, "video", None, None, None, ""), (2, 1, "mux", None, None, None, "0")]
     assert sorted(map(tuple, df.collect()), key=lambda r: r[:2]) == want
     assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
+def test_wide_events_are_the_packed_ones_laid_out(spark):
+    rows = spark.createDataFrame([(7, 100, 10, 4, 60.0), (8, 101, None, 5, None)], "file_id int, ts_epoch bigint, input_size bigint, output_size bigint, reduction_pct double")
+    wide, packed = events.result_events(rows, wide=True), events.flat(events.result_events(rows))
+    assert wide.dtypes == packed.dtypes and sorted(map(repr, wide.collect())) == sorted(map(repr, packed.collect()))
+    assert "variant" not in wide._jdf.queryExecution().executedPlan().toString()
