@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import exprs as X
 from framelake.sources.documents import first_track, first_video
+from framelake.sources.tables import computed_once
 
 
 def _facts(decoded: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def video_properties(decoded: DataFrame) -> DataFrame:
 
 def rejects(decoded: DataFrame) -> DataFrame:
     """A row to report for each document that can't be used: file_id, title, error_reason, suggestion."""
-    df = _facts(decoded).withColumn("error_reason", error_reason()).where("error_reason IS NOT NULL")
+    df = computed_once(_facts(decoded), "error_reason", error_reason()).where("error_reason IS NOT NULL")
     return df.select("file_id", F.lit("Analysis Error").alias("title"), "error_reason", F.lit("Check if the file is a valid video format").alias("suggestion"))
 
 

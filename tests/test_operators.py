@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions import exprs as X
-from framelake.operators import audio, config, crop, encoding, events, hdr, listing, numbering, options, results, validation
+from framelake.operators import audio, config, crop, encoding, events, hdr, listing, numbering, options, probe, results, validation
 from framelake.plans import catalogue_encode, registry
 from framelake.plans.relations import relation
 from framelake.sources import documents, facts, files, tables
@@ -419,3 +419,14 @@ def test_wide_events_are_the_packed_ones_laid_out(spark):
     wide, packed = events.result_events(rows, wide=True), events.flat(events.result_events(rows))
     assert wide.dtypes == packed.dtypes and sorted(map(repr, wide.collect())) == sorted(map(repr, packed.collect()))
     assert "variant" not in wide._jdf.queryExecution().executedPlan().toString()
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_document_is_decoded_once_also_where_rejects_are_filtered(spark):
+    docs = spark.createDataFrame([(1, '{"streams":'), (2, '{"format":{"duration":"1d"},"streams":[]}'), (3, '{"streams":[]}'), (4, '{"streams":[{"codec_type":"video","width":2,"height":2}]}')], "file_id bigint, doc string")
+    df = probe.rejects(documents.probe_documents(docs))
+    assert {r["file_id"]: r["error_reason"] for r in df.collect()} == {1: "unreadable document", 2: "unreadable duration", 3: "no video stream"}
+    assert optimized(df).count("from_json(") == 1
