@@ -430,3 +430,7 @@ def test_a_document_is_decoded_once_also_where_rejects_are_filtered(spark):
     df = probe.rejects(documents.probe_documents(docs))
     assert {r["file_id"]: r["error_reason"] for r in df.collect()} == {1: "unreadable document", 2: "unreadable duration", 3: "no video stream"}
     assert optimized(df).count("from_json(") == 1
+
+
+def test_steps_are_made_once_also_where_failures_are_filtered(spark):
+    assert optimized(validation.failures(catalogue_encode.checked(spark, SF))).count("AV1 (") == 1
