@@ -434,3 +434,11 @@ def test_a_document_is_decoded_once_also_where_rejects_are_filtered(spark):
 
 def test_steps_are_made_once_also_where_failures_are_filtered(spark):
     assert optimized(validation.failures(catalogue_encode.checked(spark, SF))).count("AV1 (") == 1
+
+
+def test_requests_are_checked_once_and_by_several_tasks(spark):
+    rows = [(1, None, "27", None, None, None), (2, "none", None, None, None, None), (3, None, "64", None, None, None), (4, "quick", None, 14, None, None)]
+    asked = spark.createDataFrame(rows, "request_id bigint, preset_name string, crf_spec string, encoder_preset int, film_grain int, film_grain_denoise boolean")
+    df = config.resolved(asked)
+    assert [(r["request_id"], r["crf_uhd"]) for r in df.collect()] == [(1, 27)]
+    assert "Filter isnull(error#" in optimized(df)
