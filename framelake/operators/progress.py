@@ -17,22 +17,35 @@ def _field(name: str, line: Column) -> Column:
     return F.regexp_extract(line, rf"{name}= *([^ \t]+)[ \t]", 1)
 
 
-def line_fields(line: Column) -> dict[str, Column]:
-    """frame, fps, bitrate, speed and elapsed seconds of a progress line; 0 or empty where a field doesn't parse."""
-    single = lambda c: F.coalesce(X.number(c).cast("float").cast("double"), F.lit(0.0))
-    frame = _field("frame", line)
+def line_texts(line: Column) -> dict[str, Column]:
+    """The texts of frame, fps, bitrate, speed and the clock's parts in a progress line; empty where there is none."""
     return {
-        "frame": F.coalesce(F.when(frame.rlike(r"\A[0-9]{1,18}\z"), frame.try_cast("bigint")), F.lit(0).cast("bigint")),
-        "fps": single(_field("fps", line)),
+        "frame": _field("frame", line),
+        "fps": _field("fps", line),
         "bitrate": _field("bitrate", line),
-        "speed": single(F.regexp_extract(line, r"speed= *([^ \t\rx\n]+)", 1)),
-        "elapsed": F.coalesce(X.clock_secs(F.regexp_extract(line, r"time=([0-9]{2}:[0-9]{2}:[0-9]{2}\.?[0-9]*)", 1)), F.lit(0.0)),
+        "speed": F.regexp_extract(line, r"speed= *([^ \t\rx\n]+)", 1),
+        "elapsed": F.split(F.regexp_extract(line, r"time=([0-9]{2}:[0-9]{2}:[0-9]{2}\.?[0-9]*)", 1), ":", -1),
+    }
+
+
+def line_fields() -> dict[str, Column]:
+    """frame, fps, speed and elapsed seconds of line_texts; 0 where a field doesn't parse."""
+    single = lambda c: F.coalesce(X.number(F.col(c)).cast("float").cast("double"), F.lit(0.0))
+    frame = F.col("frame")
+    return {
+        "frame": F.coalesce(F.when(frame.rlike(r"\A[0-9]{1,18}\z"), frame.try_cast("bigint")), F.lit(0).cast("bigint")),
+        "fps": single("fps"),
+        "speed": single("speed"),
+        "elapsed": F.coalesce(X.clock_parts_secs(F.col("elapsed")), F.lit(0.0)),
     }
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """(event_id, line, duration_secs) to event_id, frame, fps, bitrate, speed, elapsed, percent, eta. Lines without a frame go."""
-    df = lines.where(F.col("line").contains("frame=")).withColumns(line_fields(F.col("line")))
+    """(event_id, line, duration_secs) to event_id, frame, fps, bitrate, speed, elapsed, percent, eta. Lines without a frame go.
+
+    Each text is matched once, and then read from its column as often as its number needs it.
+    """
+    df = lines.where(F.col("line").contains("frame=")).withColumns(line_texts(F.col("line"))).withColumns(line_fields())
     percent, eta = X.percent_done(F.col("elapsed"), F.col("duration_secs")), X.eta_secs(F.col("elapsed"), F.col("duration_secs"), F.col("speed"))
     return df.withColumns({"percent": percent, "eta": eta})
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import probe
 from framelake.sources import documents
+from framelake.sources.tables import dealt
 
 from .catalogue_media import PROBE_HDR, sql
 from .relations import relation
@@ -22,7 +23,7 @@ FACTS_SQL = """facts AS (SELECT *, CASE WHEN bad_duration OR no_duration THEN 0e
 
 
 def probe_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, i = relation(spark, sf_dir, "m_probe"), F.col("file_id")
+    p, i = dealt(relation(spark, sf_dir, "m_probe"), "file_id"), F.col("file_id")
     text = lambda c: c.cast("string")
     video = F.struct(
         F.lit("video").alias("codec_type"), F.lit("h264").alias("codec_name"), F.when(i % 37 == 0, F.lit(0)).otherwise(F.col("width")).cast("bigint").alias("width"),
