@@ -329,8 +329,9 @@ def at_level(lines: DataFrame, verbose: bool) -> DataFrame:
 
 
 def written(lines: DataFrame, ts: Column) -> DataFrame:
-    """(day, value): lines as they stand in a log file."""
-    return lines.select(F.date_format(ts, "yyyy-MM-dd").alias("day"), _join(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), " [", F.col("level"), "] ", F.col("message")).alias("value"))
+    """(day, value): lines as they stand in a log file. A line's time is formatted once, its day is what stands before the blank."""
+    df = lines.withColumn("stamp", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+    return df.select(F.substring_index("stamp", " ", 1).alias("day"), _join(F.col("stamp"), " [", F.col("level"), "] ", F.col("message")).alias("value"))
 
 
 def write_log(lines: DataFrame, path: str) -> None:

@@ -156,21 +156,25 @@ def events_forwarded(s: SparkSession, d: str) -> DataFrame:
     return _shown(events.forwarded(full_log(s, d, wide=True, planned=False)))
 
 
-def log_lines(s: SparkSession, d: str) -> DataFrame:
+def log_lines(s: SparkSession, d: str, verbose: bool = True) -> DataFrame:
+    """Lines of all levels; without `verbose` those for debugging aren't made."""
     x = _seen(s, d)
+    x["parsed"] = materialize(x["parsed"].drop("line", "frame", "bitrate"), "parsed")
     streams = x["plans"].select("file_id", "out_width", "out_height", "audio_results")
     parts = [
         events.plan_lines(x["plans"]), events.start_lines(x["progress"], x["jobs"]), events.progress_lines(x["parsed"]), events.validation_lines(x["check"]), events.result_lines(x["done"].join(streams, "file_id", "left"), OUT),
         events.batch_lines(x["summary"], OUT), events.reduction_lines(results.file_reductions(x["done"]), x["summary"]), events.position_lines(x["positions"]), events.skip_lines(x["skipped"]), events.reject_lines(x["rejects"]),
-        events.job_error_lines(x["progress"]), events.candidate_lines(crop.candidates(relation(s, d, "m_crop"))),
+        events.job_error_lines(x["progress"]),
     ]
+    if verbose:
+        parts.append(events.candidate_lines(crop.candidates(relation(s, d, "m_crop"))))
     return events.union(parts)
 
 
 def log_written(s: SparkSession, d: str) -> DataFrame:
     """The lines as a log file has them, without those for debugging; a line's second is its number in its event, in turns of a minute."""
     start = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
-    return events.written(events.at_level(log_lines(s, d), verbose=False), start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("line_no") % 60).cast("decimal(18,6)")))
+    return events.written(events.at_level(log_lines(s, d, verbose=False), verbose=False), F.timestamp_add("SECOND", F.col("line_no") % 60, start))
 
 
 def jobs(s: SparkSession, d: str) -> DataFrame:

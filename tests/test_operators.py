@@ -13,8 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions import exprs as X
-from framelake.operators import audio, config, crop, encoding, events, hdr, listing, numbering, options, probe, results, validation
-from framelake.plans import catalogue_encode, registry
+from framelake.operators import audio, config, crop, encoding, events, hdr, listing, numbering, options, probe, progress, results, validation
+from framelake.plans import catalogue_encode, catalogue_events, registry
 from framelake.plans.relations import relation
 from framelake.sources import documents, facts, files, tables
 
@@ -442,3 +442,18 @@ def test_requests_are_checked_once_and_by_several_tasks(spark):
     df = config.resolved(asked)
     assert [(r["request_id"], r["crf_uhd"]) for r in df.collect()] == [(1, 27)]
     assert "Filter isnull(error#" in optimized(df)
+
+
+def test_texts_of_a_progress_line_are_matched_once(spark):
+    lines = spark.createDataFrame([(1, "frame= 7 fps= 2.5 q=1 time=00:01:02.5 bitrate=9k speed=1.5x", 125.0), (2, "frame=x fps=N/A time=N/A ", 125.0)], "event_id bigint, line string, duration_secs double")
+    df = progress.parse_lines(lines)
+    assert [tuple(r) for r in df.select("frame", "fps", "bitrate", "speed", "elapsed", "percent", "eta").orderBy("event_id").collect()] == [(7, 2.5, "9k", 1.5, 62.5, 50.0, 41), (0, 0.0, "", 0.0, 0.0, 0.0, 0)]
+    assert optimized(df).count("regexp_extract(") == 5
+
+
+def test_a_log_file_needs_no_lines_for_debugging_and_formats_a_time_once(spark):
+    plan = optimized(catalogue_events.log_written(spark, SF))
+    assert "Crop candidates" not in plan and "make_dt_interval" not in plan and "frame= *" not in plan
+    lines = spark.createDataFrame([("INFO", "a", "2024-05-06 07:08:09")], "level string, message string, ts string")
+    df = events.written(lines, F.col("ts").cast("timestamp_ntz"))
+    assert optimized(df).count("date_format(") == 1 and tuple(df.first()) == ("2024-05-06", "2024-05-06 07:08:09 [INFO] a")
