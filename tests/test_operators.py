@@ -457,3 +457,13 @@ def test_a_log_file_needs_no_lines_for_debugging_and_formats_a_time_once(spark):
     lines = spark.createDataFrame([("INFO", "a", "2024-05-06 07:08:09")], "level string, message string, ts string")
     df = events.written(lines, F.col("ts").cast("timestamp_ntz"))
     assert optimized(df).count("date_format(") == 1 and tuple(df.first()) == ("2024-05-06", "2024-05-06 07:08:09 [INFO] a")
+
+
+def test_only_what_is_said_of_streams_is_collected(spark):
+    assert optimized(catalogue_encode.checked(spark, SF)).count("collect_list(") == 1
+    for df in (catalogue_encode.plans(spark, SF), catalogue_encode.requested_plans(spark, SF)):
+        assert "l_tax" not in df._jdf.queryExecution().executedPlan().toString()
+    rows = [(1, 2, 1, 1, 1, 6, "AAC", 1.0), (1, 1, None, 1, 1, 2, "opus", None), (1, 1, 3, 1, 1, 0, "x", 1.0), (1, None, 9, 1, 1, 8, None, 2.0), (2, 1, 1, 1, 1, 0, "x", 1.0)]
+    sounds = spark.createDataFrame(rows, "file_id bigint, ord1 int, ord2 int, ord3 int, ord4 int, channels bigint, codec_name string, duration_secs double")
+    assert [tuple(r) for r in audio.ordered_channels(sounds).collect()] == [(1, [8, 2, 6])]
+    assert [[x["codec"] for x in r["s"]] for r in audio.ordered(sounds).collect()] == [[None, "opus", "aac"]]
