@@ -15,6 +15,9 @@ LETTERS = "[a-zÀ-ÿ]+"
 #: A word in so many (doc_id, word) pairs loses a code point, as given.
 DAMAGED = 97
 LEAST_LENGTH, LEAST_COUNT, LEAST_RATIO = 5, 3, 2
+#: How tables that grow with the words are joined. Left to itself, Spark broadcasts one whose files are small, and takes the rows
+#: that come of a word's keys for no more than one.
+GROWING = "merge"
 #: Any 2 * edits + 1 bigrams hold edits + 1 that don't overlap, of which one edit leaves one whole.
 PREFIX = 3
 
@@ -124,7 +127,7 @@ def near_words(words: DataFrame) -> DataFrame:
     asked = asked.select(key.alias("key"), "word", "n", "bound", "letters")
     may = (F.col("bound") <= F.col("v_bound")) & (F.bit_count(F.col("letters").bitwiseXOR(F.col("v_letters"))) <= 2) & (F.col("word") != F.col("v"))
     near = may & (F.levenshtein("word", "v", 1) == 1)
-    pairs = asked.join(indexed, "key").where(near)
+    pairs = asked.join(indexed.hint(GROWING), "key").where(near)
     first = F.col("word") < F.col("v")
     pick = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
     return pairs.select(pick("word", "v", "a"), pick("n", "v_n", "a_n"), pick("v", "word", "b"), pick("v_n", "n", "b_n")).distinct()
@@ -141,9 +144,9 @@ def roots(forms: DataFrame) -> DataFrame:
     pending = forms
     while True:
         if reached is None:  # forms that have none themselves
-            found = pending.join(forms.select(F.col("word").alias("form")), "form", "left_anti").select("word", F.col("form").alias("root"))
+            found = pending.join(forms.select(F.col("word").alias("form")).hint(GROWING), "form", "left_anti").select("word", F.col("form").alias("root"))
         else:
-            found = pending.join(reached.select(F.col("word").alias("form"), "root"), "form").select("word", "root")
+            found = pending.join(reached.select(F.col("word").alias("form"), "root").hint(GROWING), "form").select("word", "root")
         found = materialize(found, "spelling-roots")
         if not found.take(1):
             return out if out is not None else found
@@ -164,7 +167,7 @@ def group_variants(docs: DataFrame) -> DataFrame:
     far = -F.col("best.less") >= LEAST_RATIO * F.col("n")
     best = materialize(best.select("word", "n_near", F.when(far, F.col("best.form")).alias("form"), F.when(far, -F.col("best.less")).alias("form_n")), "spelling-forms")
     ends = roots(best.where("form IS NOT NULL").select("word", "form"))
-    out = words.join(best, "word", "left").join(ends, "word", "left")
+    out = words.join(best.hint(GROWING), "word", "left").join(ends.hint(GROWING), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), "form_n")
 
 

@@ -145,6 +145,21 @@ def test_variants_of_odd_rows(spark, odd_docs, no_docs):
     assert any(v[0] and v[1] != v[0] for v in want.values()) and spelling.group_variants(no_docs).count() == 0
 
 
+def test_tables_that_grow_with_the_words_are_not_broadcast(spark, monkeypatch):
+    """However small Spark takes them to be: none of the plans, those of the tables in between too, has a broadcast."""
+    plans, write = [], spelling.materialize
+    monkeypatch.setattr(spelling, "materialize", lambda df, name: (write(df, name), plans.append(df._jdf.queryExecution().executedPlan().toString()))[0])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        out = spelling.group_variants(spark.read.parquet(f"{SF}/documents.parquet"))
+        assert out.count()
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
 def test_pivots_are_disjoint_and_rarest():
     rng = random.Random(1)
     for _ in range(300):
