@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.llm import html_extraction as H
 from framelake.llm import nearest as N
@@ -214,6 +215,40 @@ def test_crowded_cells_come_in_blocks(spark, monkeypatch):
     assert same(found(N.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))), brute(rows))
 
 
+def test_queries_are_not_broadcast_however_small_their_file(spark, monkeypatch):
+    """Exploded to the rows of entries that they visit, they are many times their file. The sample is the same, read whole or not."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in np.float32(rng.normal(size=4))]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    monkeypatch.setattr(N, "BLOCK", 16)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        out = N.search(table)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [group#" in plan and "rights" not in plan
+        assert same(found(out), brute(rows))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    monkeypatch.setattr(N, "SAMPLE", 50)
+    entries = N.usable(table)
+    assert [r["vec_id"] for r in N._sample(entries, 400).collect()] == [r["vec_id"] for r in N._sample(entries, 0).collect()]
+    assert N._sample(table.select(F.lit(7).alias("vec_id"), F.col("vec_id").alias("code")), 400).count() == 50
+
+
+def test_entries_are_dealt_to_rows_of_bounded_size():
+    assert N.deal([5, 5, 7, 0, 25, 3, 10, 0], 10) == [(0, 1), (0, 1), (1, 1), (1, 1), (2, 3), (5, 1), (6, 1), (6, 1)] and N.deal([0, 3], 10) == [(0, 1), (0, 1)]
+    x = np.random.default_rng(1).normal(size=(3000, 8))
+    index = N.MultiIndex(x[:30, :4], x[30:60, 4:])
+    assert (index.cells(x) == N.distances(N.scaled(x)[:, :4], index.left).argmin(1) * 30 + N.distances(N.scaled(x)[:, 4:], index.right).argmin(1)).all()
+    # What is visited by the distance is what the heap meets.
+    index.counts = np.bincount(index.cells(x), minlength=900)
+    cells = np.flatnonzero(index.counts)
+    for r, (reach, lefts) in enumerate(index.visit(x[:20], 500)):
+        met = cells[index.reached(x[r : r + 1], np.array([reach]), cells)[0]]
+        assert set((met // 30).tolist()) == lefts and 0 <= index.counts[met].sum() - 500 < index.counts.max()
+
+
 def test_components_of_extreme_size(spark):
     """Squares of components over- or underflow; the cosine doesn't."""
     rows = [(0, [1e-200, 2e-200, 0.0, 0.0]), (1, [1e200, 2e200, 0.0, 0.0]), (2, [2e-300, 1e-300, 0.0, 0.0]), (3, [0.0, 0.0, 1e308, 1e308]), (4, [5e-324, 1e-323, 0.0, 0.0]), (50, [1.5e308, -1e308, 0.0, 0.0])]
